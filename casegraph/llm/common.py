@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and leaves every other byte as it is.
@@ -33,11 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def unsigned_below(a: Column, b: Column | int) -> Column:
-    """a < b for two longs read as unsigned."""
-    flip = -(1 << 63)
-    other = F.lit((b ^ flip) if -(1 << 63) <= b < 1 << 63 else None) if isinstance(b, int) else b.bitwiseXOR(F.lit(flip))
-    return a.bitwiseXOR(F.lit(flip)) < other
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder that the cluster shares, read again; later passes read only what they need."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{shared.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
