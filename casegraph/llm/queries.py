@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sharding, simhash
+import corpus_pipeline
+
+from . import decontaminate, mixing, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +109,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(table(spark, sf_dir, "documents"))
     return rows.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op10_temperature_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.planned(table(spark, sf_dir, "documents"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
