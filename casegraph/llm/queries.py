@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, linededup, mixing, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,34 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pipeline"] = _pipeline
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query(
+    "op7_line_templates",
+    r"""
+WITH lines AS (
+  SELECT doc_id, text, i - 1 AS line, parts[i] AS words
+  FROM (SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents))
+), tokens AS (
+  SELECT *, list_transform(regexp_extract_all(words, '[^\x20\x09-\x0D]+'), lambda t : CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM lines
+), long AS (
+  SELECT *, len(t) AS n, len(t) - 2 AS free FROM tokens WHERE len(t) >= 3
+), each AS (
+  SELECT doc_id, text, line, n::VARCHAR || ' whole ' || array_to_string(t, ' ') AS template FROM long
+  UNION ALL
+  SELECT doc_id, text, line, n::VARCHAR || ' part ' || j::VARCHAR || ' ' || array_to_string(t[1 : 2 + (free * j) // 5], ' ') || ' <*> ' || array_to_string(t[3 + (free * (j + 1)) // 5 : n], ' ')
+  FROM long, (SELECT unnest(range(0, 5)) AS j) WHERE free >= 5
+), recurring AS (
+  SELECT template FROM each GROUP BY template HAVING count(DISTINCT text) >= 5
+), dropped AS (
+  SELECT DISTINCT doc_id, text, line FROM each WHERE template IN (SELECT template FROM recurring)
+)
+SELECT l.doc_id, count(CASE WHEN l.text <> '' THEN 1 END)::BIGINT AS n_lines, count(d.line)::BIGINT AS n_dropped,
+       md5(coalesce(string_agg(CASE WHEN d.line IS NULL THEN l.words END, chr(10) ORDER BY l.line), '')) AS clean_md5
+FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.text = d.text AND l.line = d.line
+GROUP BY l.doc_id, l.text
+""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.cleaned(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
