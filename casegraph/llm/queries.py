@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, linededup, mixing, quality, sharding, simhash
+from . import decontaminate, licenses, linededup, mixing, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ GROUP BY l.doc_id, l.text
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.cleaned(table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
