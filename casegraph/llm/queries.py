@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, linededup, mixing, quality, sharding, simhash
+from . import decontaminate, licenses, linededup, mixing, quality, sharding, simhash, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_license_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op8_link_graph_urls")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages")).drop("trust", "distrust")
