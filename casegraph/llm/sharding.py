@@ -140,7 +140,7 @@ def _at_or_past(boundary: tuple[int, ...]) -> Column:
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """Per row of docs: doc_id, size, text_crc32, law `bytes`, shard, slot (gapless in a shard, in key order), and
+    """Per row of docs: doc_id, size, text_crc32, law `bytes`, shard, slot (gapless in a shard; by pieces, in key order inside a piece), and
     `carried`, a struct of the columns named in carry."""
     rows = written(keyed(docs, id_col, text_col, carry))
     shard = F.lit(0)
