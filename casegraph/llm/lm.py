@@ -160,23 +160,20 @@ def _features(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [((m ^ (m >> np.uint64(29))) * MIX[1] >> shift).astype(np.int64) for m in mixed]
 
 
-def _softmax(model: Model, rows: list[np.ndarray]) -> np.ndarray:
-    """Probabilities [token, class]."""
+def _odds(model: Model, rows: list[np.ndarray]) -> np.ndarray:
+    """[token, class] in proportion to the probabilities; bounded weights keep the exponents in range."""
     x = model.weights[rows[0]]
     x += model.weights[rows[1]]
     x += model.weights[rows[2]]
     x += model.bias
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    return np.exp(x, out=x)
 
 
 def _gradient_sums(batches: Iterator[pa.RecordBatch], shared: Broadcast, expected: bool) -> Iterator[pa.RecordBatch]:
     """A task's observed, or expected, uses of each (feature, class), in blocks of rows."""
     model: Model = shared.value
     words = Words(model)
-    total = np.zeros(FEATURES * CLASSES)
+    total = np.zeros((CLASSES, FEATURES))
     for _, flat, lengths in _numbered(batches, words):
         h, y = words.hash[flat], words.cls[flat]
         places = np.flatnonzero(flat)
@@ -184,15 +181,16 @@ def _gradient_sums(batches: Iterator[pa.RecordBatch], shared: Broadcast, expecte
             at = places[a : a + STEP]
             rows = _features(h, at)
             if expected:
-                p = np.ascontiguousarray(_softmax(model, rows).T)
-                grid = total.reshape(FEATURES, CLASSES)
+                p = _odds(model, rows)
+                p /= p.sum(1, keepdims=True)
+                p = np.ascontiguousarray(p.T)
                 for k in range(CLASSES):
                     for r in rows:
-                        grid[:, k] += np.bincount(r, p[k], FEATURES)
+                        total[k] += np.bincount(r, p[k], FEATURES)
             else:
                 for r in rows:
-                    np.add.at(total, r * CLASSES + y[at], 1.0)
-    blocks = total.astype("<f4").reshape(-1, BLOCK_ROWS * CLASSES)
+                    np.add.at(total.reshape(-1), y[at] * FEATURES + r, 1.0)
+    blocks = total.T.astype("<f4").reshape(-1, BLOCK_ROWS * CLASSES)
     used = np.flatnonzero(blocks.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], ["block", "sums"])
 
@@ -249,7 +247,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS, head: int = HEAD) -> tuple[Mod
             expected = sums(True)
         gradient = observed - expected
         step = np.log1p(gradient / (expected + SMOOTHING * prior)) / 3
-        model = Model(model.tokens, model.distinct, words, head_c, class_n, class_v, model.bias, (model.weights + step).astype("<f4"))
+        model = Model(model.tokens, model.distinct, words, head_c, class_n, class_v, model.bias, np.clip(model.weights + step, -10, 10).astype("<f4"))
     return model, counted
 
 
@@ -266,8 +264,8 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
         in_class = np.empty(len(at_all))
         for a in range(0, len(at_all), STEP):
             at = at_all[a : a + STEP]
-            p = _softmax(model, _features(h, at))
-            in_class[a : a + STEP] = np.log10(np.maximum(p[np.arange(len(at)), y[at]], 1e-30))
+            p = _odds(model, _features(h, at))
+            in_class[a : a + STEP] = np.log10(p[np.arange(len(at)), y[at]].astype(float) / p.sum(1))
         y, place = y[at_all], place[at_all]
         of_row = np.repeat(np.arange(len(lengths)), lengths)
         add = lambda x: np.bincount(of_row, x, len(lengths))
