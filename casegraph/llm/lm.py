@@ -44,7 +44,7 @@ OWN, SHARED = 32, 32
 CLASSES = OWN + SHARED
 FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
-HEAD, HEAD_BYTES = 1 << 18, 64
+HEAD, HEAD_BYTES = 1 << 17, 64
 ROUNDS, SMOOTHING = 2, 40.0
 TASK_TOKENS, STEP, KEPT_WORDS = 4_000_000, 1 << 15, 400_000
 #: Odd multipliers of the features' hashes.
@@ -214,14 +214,27 @@ def _added(sums: DataFrame) -> np.ndarray:
     return out.reshape(FEATURES, CLASSES)
 
 
+def _head(counted: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent tokens and their counts: as many whole counts, from the largest down, as `head` tokens allow."""
+    short = counted.where(F.octet_length("token") <= HEAD_BYTES)
+    # A row for each count from 2 up: their number grows with the square root of all tokens at most.
+    least, total = 2, 0
+    for c, n in sorted(map(tuple, short.where("c > 1").groupBy("c").count().collect()), reverse=True):
+        total += n
+        if total > head:
+            least = c + 1
+            break
+    top = short.where(F.col("c") >= least).toArrow()
+    found = sorted(zip(top.column("token").to_pylist(), top.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in found], np.array([c for _, c in found], float)
+
+
 def train(texts: DataFrame, rounds: int = ROUNDS, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model, and the counts (token, c) of all training texts."""
     spark = texts.sparkSession
     counted = written(counts(texts))
     n, v = counted.agg(F.sum("c"), F.count("*")).first()
-    top = counted.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("c"), "token").limit(head).collect()
-    words = [bytes(r.token) for r in top]
-    head_c = np.array([r.c for r in top], float)
+    words, head_c = _head(counted, head)
 
     group = (F.crc32(F.substring("token", -3, 3)) % SHARED + OWN).cast("int")
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
