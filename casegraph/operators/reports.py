@@ -20,12 +20,12 @@ PRIORITIES = ["critical", "high", "medium", "low"]
 
 
 def timeline(memory: DataFrame, actions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(investigation_id, at, kind, title, ref): one row per event. Sort by (investigation_id, at nulls last, kind, ref) to show it.
+    """(investigation_id, event_at, kind, title, ref): one row per event. Sort by (investigation_id, event_at nulls last, kind, ref) to show it.
 
     An action's time is when it ended, else began, else was made.
     """
     parts = [
-        memory.select(INV, F.col("created_at").alias("at"), F.concat(F.lit("memory:"), "type").alias("kind"), "title", F.col("id").cast("string").alias("ref")),
+        memory.select(INV, F.col("created_at").alias("event_at"), F.concat(F.lit("memory:"), "type").alias("kind"), "title", F.col("id").cast("string").alias("ref")),
         actions.select(INV, F.coalesce("completed_at", "started_at", "created_at"), F.concat(F.lit("action:"), "status"), "title", F.col("id").cast("string")),
         evidence.select(INV, "collected_at", F.lit("evidence"), F.col("description"), F.col("evidence_id").cast("string")),
     ]
@@ -105,7 +105,7 @@ def documentary_report(investigations: DataFrame, events: DataFrame, found: Data
     out = investigations.select(INV).distinct()
     for df, name in ((events, "events"), (found, "findings"), (observations, "observations"), (open_questions, "questions")):
         out = out.join(df.groupBy(INV).agg(F.count("*").alias(name)), INV, "left")
-    span = events.groupBy(INV).agg(F.min("at").alias("first_event"), F.max("at").alias("last_event"))
+    span = events.groupBy(INV).agg(F.min("event_at").alias("first_event"), F.max("event_at").alias("last_event"))
     out = out.join(span, INV, "left").na.fill(0, ["events", "findings", "observations", "questions"])
     n = lambda c: F.col(c).cast("string")
     intro = F.concat(F.lit("Record of investigation "), n(INV), F.lit(" with "), n("events"), F.lit(" events."))

@@ -26,7 +26,13 @@ FAMILIES = {
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """c within 0 and 1; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Half-even, after the noise of sums in another order is gone."""
+    return F.bround(F.round(c, 10), digits)
 
 
 def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def level(score: Column) -> Column:
 def entity_risk(signals: DataFrame) -> DataFrame:
     """K1, K4, K5: node_id, score, level, and the three largest contributions as text."""
     total = sum(WEIGHTS.values())
-    score = F.bround(reduce(lambda x, y: x + y, (F.col(s) * w for s, w in WEIGHTS.items())) / total, 4)
+    score = rounded(reduce(lambda x, y: x + y, (F.col(s) * w for s, w in WEIGHTS.items())) / total, 4)
     parts = F.filter(F.array(*(F.struct((-F.bround(F.col(s) * w, 4)).alias("c"), F.lit(s).alias("signal")) for s, w in WEIGHTS.items())), lambda x: x["c"] < 0)
     top = F.transform(F.slice(F.array_sort(parts), 1, 3), lambda x: x["signal"])
     text = F.when(F.size(top) == 0, "No active signals.").otherwise(F.concat(F.lit("Main signals: "), F.array_join(top, ", "), F.lit(".")))
@@ -109,10 +115,10 @@ def severity_band(score: Column) -> Column:
 
 
 def _groups_of(f: DataFrame, column: str) -> DataFrame:
-    """(investigation, fid, o, fkey, w, c): each finding under each of its ids; o orders the ids by first appearance."""
-    link = f.select(INV, "fid", "fkey", "w", "c", F.explode(column).alias("id"))
-    order = link.groupBy(INV, "id").agg(F.min(F.struct("fkey", "id")).alias("o"))
-    return link.join(order, [link[INV].eqNullSafe(order[INV]), link["id"] == order["id"]]).select(link[INV], "fid", "fkey", "w", "c", "o")
+    """(iv, fid, w, c, o): each finding under each of its ids; o orders the ids by first appearance."""
+    link = f.select("iv", "fid", "fkey", "w", "c", F.explode(column).alias("id"))
+    order = link.groupBy("iv", "id").agg(F.min(F.struct("fkey", "id")).alias("o"))
+    return link.join(order, ["iv", "id"]).select("iv", "fid", "w", "c", "o")
 
 
 def _greedy(link: DataFrame) -> DataFrame:
@@ -123,14 +129,12 @@ def _greedy(link: DataFrame) -> DataFrame:
     """
     open_, taken = g.checkpointed(link), None
     while not open_.isEmpty():
-        first = open_.groupBy(INV, "fid").agg(F.min("o").alias("m"))
-        marked = open_.join(first, [open_[INV].eqNullSafe(first[INV]), open_["fid"] == first["fid"]]).select(open_["*"], (F.col("o") == F.col("m")).alias("first"))
-        won = marked.groupBy(INV, "o").agg(F.every("first").alias("won")).where("won").select(F.col(INV).alias("wi"), F.col("o").alias("wo"))
-        new = g.checkpointed(open_.join(won, [F.col(INV).eqNullSafe(F.col("wi")), F.col("o") == F.col("wo")], "left_semi"))
-        taken = new if taken is None else taken.union(new)
-        used = new.select(F.col(INV).alias("ui"), F.col("fid").alias("uf")).distinct()
-        hit = open_.join(used, [F.col(INV).eqNullSafe(F.col("ui")), F.col("fid") == F.col("uf")], "left_semi").select(F.col(INV).alias("hi"), F.col("o").alias("ho")).distinct()
-        open_ = g.checkpointed(open_.join(hit, [F.col(INV).eqNullSafe(F.col("hi")), F.col("o") == F.col("ho")], "left_anti"))
+        first = open_.groupBy("iv", "fid").agg(F.min("o").alias("m"))
+        won = open_.join(first, ["iv", "fid"]).groupBy("iv", "o").agg(F.every(F.col("o") == F.col("m")).alias("won")).where("won").select("iv", "o")
+        new = g.checkpointed(open_.join(won, ["iv", "o"], "left_semi"))
+        taken = new if taken is None else taken.unionByName(new)
+        hit = open_.join(new.select("iv", "fid").distinct(), ["iv", "fid"], "left_semi").select("iv", "o").distinct()
+        open_ = g.checkpointed(open_.join(hit, ["iv", "o"], "left_anti"))
     return link.limit(0) if taken is None else taken
 
 
@@ -141,28 +145,29 @@ def finding_risk(findings: DataFrame) -> DataFrame:
     (severity weight * confidence) stands for it. Findings are in order of rule and ids.
     """
     fkey = F.struct("rule", "entity_ids", "evidence_ids", "relationship_ids", "title")
-    f = findings.where("confidence > 0").select(INV, "title", "entity_ids", "evidence_ids", "relationship_ids", fkey.alias("fkey"), severity_weight(F.col("severity")).alias("w"), F.least(F.lit(1.0), "confidence").alias("c"))
+    iv = F.coalesce(F.col(INV).cast("string"), F.lit("none"))
+    f = findings.where("confidence > 0").select(INV, iv.alias("iv"), "title", "entity_ids", "evidence_ids", "relationship_ids", fkey.alias("fkey"), severity_weight(F.col("severity")).alias("w"), F.least(F.lit(1.0), "confidence").alias("c"))
     f = g.checkpointed(f.withColumn("fid", F.xxhash64("fkey")))
     by_rel = f.where("size(relationship_ids) > 0")
     by_ev = f.where("size(relationship_ids) <= 0 and size(evidence_ids) > 0")
     rest = f.where("size(relationship_ids) <= 0 and size(evidence_ids) <= 0")
     strongest = F.max_by(F.struct("w", "c"), F.struct(F.col("w") * F.col("c"), "w", "c")).alias("v")
-    rel = _greedy(_groups_of(by_rel, "relationship_ids")).groupBy(INV, "o").agg(strongest)
+    rel = _greedy(_groups_of(by_rel, "relationship_ids")).groupBy("iv", "o").agg(strongest)
     # Evidence groups give up findings that an earlier group has: a finding belongs to its first group.
-    ev_first = _groups_of(by_ev, "evidence_ids").groupBy(INV, "fid").agg(F.min("o").alias("o"), F.first("w").alias("w"), F.first("c").alias("c"))
-    ev = ev_first.groupBy(INV, "o").agg(strongest)
-    signals = rel.select(INV, "v.w", "v.c").union(ev.select(INV, "v.w", "v.c")).union(rest.select(INV, "w", "c"))
-    score = signals.groupBy(INV).agg(F.count("*").alias("signals"), (F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("mean"))
-
-    distinct = lambda c: f.select(INV, F.explode(c).alias("x")).distinct().groupBy(INV).agg(F.count("*").alias(f"n_{c}"))
-    kinds = f.select(INV, family(F.col("title")).alias("x")).distinct().groupBy(INV).agg(F.count("*").alias("n_family"))
-    for part in (distinct("evidence_ids"), distinct("relationship_ids"), distinct("entity_ids"), kinds):
-        part = part.withColumnRenamed(INV, "pi")
-        score = score.join(part, score[INV].eqNullSafe(part["pi"]), "left").drop("pi")
+    first = _groups_of(by_ev, "evidence_ids").groupBy("iv", "fid").agg(F.min("o").alias("o"), F.first("w").alias("w"), F.first("c").alias("c"))
+    ev = first.groupBy("iv", "o").agg(strongest)
+    signals = rel.select("iv", "v.w", "v.c").union(ev.select("iv", "v.w", "v.c")).union(rest.select("iv", "w", "c"))
+    out = signals.groupBy("iv").agg(F.count("*").alias("signals"), (F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("mean"))
+
+    parts = [f.select(INV, "iv").distinct(), f.select("iv", family(F.col("title")).alias("x")).distinct().groupBy("iv").agg(F.count("*").alias("n_family"))]
+    for c in ("evidence_ids", "relationship_ids", "entity_ids"):
+        parts.append(f.select("iv", F.explode(c).alias("x")).distinct().groupBy("iv").agg(F.count("*").alias(f"n_{c}")))
+    for part in parts:
+        out = out.join(part, "iv", "left")
     at_least = lambda c, n, gain: F.when(F.coalesce(c, F.lit(0)) >= n, gain).otherwise(0.0)
     bonus = F.least(F.lit(0.20), at_least("n_evidence_ids", 2, 0.08) + at_least("n_relationship_ids", 2, 0.06) + at_least("n_entity_ids", 3, 0.03) + at_least("n_family", 3, 0.025) + at_least("n_family", 5, 0.025))
-    total = F.bround(clamp(F.col("mean") + F.when(F.col("signals") > 1, bonus).otherwise(0.0)), 3)
-    return score.select(INV, total.alias("score"), severity_band(total).alias("severity"), "signals")
+    total = rounded(clamp(F.col("mean") + F.when(F.col("signals") > 1, bonus).otherwise(0.0)), 3)
+    return out.select(INV, total.alias("score"), severity_band(total).alias("severity"), "signals")
 
 
 def confidence_components(entities: DataFrame, relationships: DataFrame, evidence: DataFrame, findings: DataFrame) -> DataFrame:
@@ -178,13 +183,13 @@ def confidence_components(entities: DataFrame, relationships: DataFrame, evidenc
     of = lambda n: F.coalesce(F.max(F.when(F.col("part") == n, F.col("m"))), F.lit(0.0))
     wide = reduce(DataFrame.union, parts).groupBy(INV).agg(*(of(n).alias(n) for n in ("entity", "relationship", "evidence", "finding")))
     overall = 0.2 * F.col("entity") + 0.3 * F.col("relationship") + 0.2 * F.col("evidence") + 0.3 * F.col("finding")
-    return wide.select(INV, *(F.bround(n, 3).alias(n) for n in ("entity", "relationship", "evidence", "finding")), F.bround(clamp(overall), 3).alias("overall"))
+    return wide.select(INV, *(rounded(F.col(n), 3).alias(n) for n in ("entity", "relationship", "evidence", "finding")), rounded(clamp(overall), 3).alias("overall"))
 
 
 def risk_rollup(scope: DataFrame, risk: DataFrame) -> DataFrame:
     """Per investigation: entities, highest and mean entity score; scope has (investigation_id, entity_id)."""
     scored = scope.select(INV, "entity_id").distinct().join(risk.select(F.col("node_id").alias("entity_id"), "score"), "entity_id", "left")
-    return scored.groupBy(INV).agg(F.count("*").alias("entities"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), F.bround(F.coalesce(F.avg(F.coalesce("score", F.lit(0.0))), F.lit(0.0)), 4).alias("mean_score"))
+    return scored.groupBy(INV).agg(F.count("*").alias("entities"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), rounded(F.coalesce(F.avg(F.coalesce("score", F.lit(0.0))), F.lit(0.0)), 4).alias("mean_score"))
 
 
 def coverage_band(search: Column, memory: Column, graph: Column) -> Column:

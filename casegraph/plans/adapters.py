@@ -38,14 +38,22 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, parts).withColumn("normalized_value", F.lower(F.trim("value")))
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ev, l_orderkey, o_custkey, and the smallest l_suppkey, l_discount, ...) of each line number of an order; ev identifies it."""
+    names = ["l_suppkey", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in names))
+    return lines.join(orders, "l_orderkey").withColumn("ev", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(investigation_id, id, source_entity_id, target_entity_id, relationship_type, confidence, evidence_id); one investigation a customer."""
     t = lambda name: read(spark, sf_dir, name)
     names = ["investigation_id", "id", "source_entity_id", "target_entity_id", "relationship_type", "confidence", "evidence_id"]
     none = F.lit(None).cast("long")
     orders, customer = t("orders"), t("customer")
-    lines = t("lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    evidence = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    evidence = F.col("ev")
+    lines = order_lines(spark, sf_dir)
     key = F.col("c_custkey")
     parts = [
         orders.select("o_custkey", F.col("o_orderkey"), _id("person", F.col("o_custkey")), _id("case", F.col("o_orderkey")), F.lit("person_in_case"), (F.lit(5) + F.col("o_orderkey") % 5) / 10, none),
@@ -110,7 +118,9 @@ entities AS (
     UNION ALL SELECT DISTINCT 6000000000 + c_custkey // 3, 'phone', '+91' || lpad((c_custkey // 3)::VARCHAR, 10, '0') FROM customer
     UNION ALL SELECT DISTINCT 7000000000 + c_custkey // 2, 'vehicle', 'DL01AB' || lpad((c_custkey // 2)::VARCHAR, 8, '0') FROM customer)
 ), lines AS (
-  SELECT o_custkey, l_orderkey, l_suppkey, l_discount, l_orderkey * 10 + l_linenumber AS ev FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  SELECT o_custkey, l.*, l_orderkey * 10 + l_linenumber AS ev FROM (
+    SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_discount) AS l_discount, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL) l
+  JOIN orders ON l_orderkey = o_orderkey
 ), relationships AS (
   SELECT o_custkey::BIGINT AS investigation_id, o_orderkey::BIGINT AS id, 1000000000 + o_custkey AS source_entity_id, 4000000000 + o_orderkey AS target_entity_id,
          'person_in_case' AS relationship_type, (5 + o_orderkey % 5) / 10 AS confidence, NULL::BIGINT AS evidence_id FROM orders

@@ -249,8 +249,8 @@ def _(s, d):
   SELECT inv, 'entity' AS part, avg(c) AS m FROM (SELECT inv, x, max(c) AS c FROM ends GROUP BY inv, x) GROUP BY inv UNION ALL SELECT inv, 'relationship', avg(c) FROM r GROUP BY inv
   UNION ALL SELECT inv, 'evidence', coalesce(avg(CASE WHEN id % 7 > 0 THEN c END), 0.6) FROM r WHERE e IS NOT NULL GROUP BY inv UNION ALL SELECT investigation_id, 'finding', avg(confidence) FROM base GROUP BY investigation_id
 ), w AS (SELECT inv, coalesce(max(m) FILTER (part = 'entity'), 0) AS entity, coalesce(max(m) FILTER (part = 'relationship'), 0) AS relationship, coalesce(max(m) FILTER (part = 'evidence'), 0) AS evidence, coalesce(max(m) FILTER (part = 'finding'), 0) AS finding FROM parts GROUP BY inv)
-SELECT inv AS investigation_id, round_even(entity, 3) AS entity, round_even(relationship, 3) AS relationship, round_even(evidence, 3) AS evidence, round_even(finding, 3) AS finding,
-  round_even(0.2::DOUBLE * entity + 0.3::DOUBLE * relationship + 0.2::DOUBLE * evidence + 0.3::DOUBLE * finding, 3) AS overall FROM w""",
+SELECT inv AS investigation_id, """ + ", ".join(f"round_even(round({c}, 10) * 1000, 0) / 1000 AS {c}" for c in ("entity", "relationship", "evidence", "finding")) + """,
+  round_even(round(0.2::DOUBLE * entity + 0.3::DOUBLE * relationship + 0.2::DOUBLE * evidence + 0.3::DOUBLE * finding, 10) * 1000, 0) / 1000 AS overall FROM w""",
 )
 def _(s, d):
     r = b.valid(thin(s, d)).withColumnRenamed("c", "confidence")

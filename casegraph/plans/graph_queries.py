@@ -436,7 +436,7 @@ SIGNALS = PEDGES + """, pdeg AS (
   SELECT node_id, entity_type, least(1.0, round_even(total_degree / (SELECT max(degree) FROM pn), 4))::DOUBLE AS connectivity, least(1.0, coalesce(types, 0) / 6)::DOUBLE AS diversity,
     CASE WHEN p > 1 THEN least(1.0, p / 5) ELSE 0 END::DOUBLE AS shared, 0::DOUBLE AS accomplice, least(1.0, coalesce(n, 0) / 4)::DOUBLE AS patterns, coalesce(density, 0)::DOUBLE AS density
   FROM nodes LEFT JOIN pdeg USING (node_id) LEFT JOIN pdiv USING (node_id) LEFT JOIN people USING (node_id) LEFT JOIN pats USING (node_id) LEFT JOIN dens USING (node_id)
-), risk AS (SELECT *, round_even((connectivity * 0.25::DOUBLE + diversity * 0.15::DOUBLE + shared * 0.2::DOUBLE + accomplice * 0.25::DOUBLE + patterns * 0.1::DOUBLE + density * 0.05::DOUBLE) / 1.0::DOUBLE, 4) AS score FROM sig)"""
+), risk AS (SELECT *, round_even(round((connectivity * 0.25::DOUBLE + diversity * 0.15::DOUBLE + shared * 0.2::DOUBLE + accomplice * 0.25::DOUBLE + patterns * 0.1::DOUBLE + density * 0.05::DOUBLE) / TOTAL::DOUBLE, 10) * 10000, 0) / 10000 AS score FROM sig)""".replace("TOTAL", repr(sum(k.WEIGHTS.values())))
 
 
 def signals(s, d):
