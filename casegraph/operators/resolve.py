@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -24,16 +24,38 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("score", "least", "mean")]))
-def name_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Of two normalised names: .6 * whole ratio + .4 * mean best token ratio; and the least and mean best token ratio."""
-    for left, right in pairs:
-        rows = []
-        for x, y in zip(left, right):
-            best = [max(SequenceMatcher(None, s, t).ratio() for t in y.split()) for s in x.split()]
-            mean = sum(best) / len(best)
-            rows.append((1.0 if x == y else 0.6 * SequenceMatcher(None, x, y).ratio() + 0.4 * mean, min(best), mean))
-        yield pd.DataFrame(rows, columns=["score", "least", "mean"])
+@functools.lru_cache(maxsize=200_000)
+def _token_ratio(a: str, b: str) -> float:
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+def _similarity(x: str, y: str, threshold: float) -> float:
+    """.6 * whole ratio + .4 * mean best token ratio of two normalised names; 0 if below the threshold or not safe.
+
+    Safe: the least best token ratio is .65 or more, their mean .80 or more. Token ratios come first, as few names
+    pass them; the whole ratio is only worked out where its upper bound can still reach the threshold.
+    """
+    if x == y:
+        return 1.0
+    best = [max(_token_ratio(s, t) for t in y.split()) for s in x.split()]
+    mean = sum(best) / len(best)
+    if min(best) < 0.65 or mean < 0.80:
+        return 0.0
+    whole = SequenceMatcher(None, x, y)
+    if 0.6 * whole.quick_ratio() + 0.4 * mean < threshold:
+        return 0.0
+    score = 0.6 * whole.ratio() + 0.4 * mean
+    return score if score >= threshold else 0.0
+
+
+def name_similarity(threshold: float):
+    """H2: _similarity of two columns, a batch at a time."""
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_similarity(a, b, threshold) for a, b in zip(x, y)], dtype="float64")
+
+    return scored
 
 
 def resolved_entities(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -55,15 +77,18 @@ def fuzzy_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.84)
     """R2: (new_id, existing_id, score): the best match of each new name within its type.
 
     new: new_id, entity_type, name; existing: existing_id, entity_type, name. A match needs equal token counts and an
-    exact token in common, so names meet by (type, token count, token): no match is lost.
+    exact token in common, so names meet by (type, token count, token): no match is lost. A token that most names share
+    (a legal form) still brings all of them together; AQE splits such a block, and most of its pairs end at the length
+    bound or at remembered token ratios.
     """
     def blocked(df: DataFrame, id_: str, as_: str) -> DataFrame:
         text = n.normalize_company_tokens(F.col("name"))
         return df.select(id_, F.col("entity_type").alias("kind"), text.alias(as_), F.size(F.split(text, " ")).alias("tokens"), F.explode(F.array_distinct(F.split(text, " "))).alias("token")).where(F.col(as_) != "")
 
     pairs = blocked(new, "new_id", "x").join(blocked(existing, "existing_id", "y"), ["kind", "tokens", "token"]).select("new_id", "existing_id", "x", "y").distinct()
-    scored = pairs.withColumn("s", name_similarity("x", "y")).where((F.col("s.score") >= threshold) & (F.col("s.least") >= 0.65) & (F.col("s.mean") >= 0.80))
-    best = scored.groupBy("new_id").agg(F.max_by("existing_id", F.struct("s.score", -F.col("existing_id"))).alias("existing_id"), F.max("s.score").alias("score"))
+    pairs = pairs.where(2 * F.least(F.length("x"), F.length("y")) * 0.6 >= (threshold - 0.4) * (F.length("x") + F.length("y")))
+    scored = pairs.withColumn("score", name_similarity(threshold)("x", "y")).where(F.col("score") >= threshold)
+    best = scored.groupBy("new_id").agg(F.max_by("existing_id", F.struct("score", -F.col("existing_id"))).alias("existing_id"), F.max("score").alias("score"))
     return best.select("new_id", "existing_id", F.bround("score", 6).alias("score"))
 
 
