@@ -180,7 +180,7 @@ def test_components_and_paths(spark):
 
 
 def test_fuzzy_and_gazetteer(spark):
-    new = spark.createDataFrame([(1, "organization", "Apex Logistcs Pvt Ltd"), (2, "organization", "Zeta Ltd"), (3, "person", "Arjun Roa")], "new_id long, entity_type string, name string")
+    new = spark.createDataFrame([(1, "organization", "Apex Logistcs Pvt Ltd"), (2, "organization", "Quux Ltd"), (3, "person", "Arjun Roa")], "new_id long, entity_type string, name string")
     old = spark.createDataFrame([(7, "organization", "Apex Logistics Private Limited"), (8, "person", "Arjun Rao"), (9, "organization", "Beta Limited")], "existing_id long, entity_type string, name string")
     assert {x.new_id: x.existing_id for x in r.fuzzy_matches(new, old).collect()} == {1: 7, 3: 8}
     known = spark.createDataFrame([(1, "person", "Arjun Rao", ["A. Rao"]), (2, "person", "Arjun Rau", None)], "entity_id long, entity_type string, value string, aliases array<string>")
