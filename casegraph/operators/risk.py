@@ -11,8 +11,8 @@ from . import analytics as a
 from . import graph as g
 from .findings import INV
 
-#: Weights of the six signals of an entity's risk.
-WEIGHTS = {"connectivity": 0.25, "diversity": 0.15, "shared": 0.20, "accomplice": 0.25, "patterns": 0.10, "density": 0.05}
+#: Weights of the six signals of an entity's risk, in the order in which ties are settled.
+WEIGHTS = {"connectivity": 0.25, "diversity": 0.15, "shared": 0.20, "patterns": 0.10, "accomplice": 0.25, "density": 0.05}
 #: Severity weights, and words by finding family in the order of the test.
 SEVERITY = {"low": 0.25, "medium": 0.5, "high": 0.75, "critical": 1.0}
 FAMILIES = {
@@ -35,6 +35,16 @@ def rounded(c: Column, digits: int) -> Column:
     return F.bround(F.round(c, 10), digits)
 
 
+def nearest(c: Column, digits: int) -> Column:
+    """The decimal nearest to the double's exact value, half-even: 0.31985 is a little over its digits and gives 0.3199."""
+    return F.regexp_replace(F.format_number(c, digits), ",", "").cast("double")
+
+
+def weighted(signal: str) -> Column:
+    """A signal's contribution, 4 digits."""
+    return nearest(F.col(signal) * WEIGHTS[signal], 4)
+
+
 def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """K2: (node_id, n): distinct (pattern_type, title) of high connectivity and person patterns."""
     both = a.high_connectivity(nodes, edges).unionByName(a.person_patterns(nodes, edges))
@@ -70,26 +80,31 @@ def level(score: Column) -> Column:
 
 
 def entity_risk(signals: DataFrame) -> DataFrame:
-    """K1, K4, K5: node_id, score, level, and the three largest contributions as text."""
-    total = sum(WEIGHTS.values())
-    score = rounded(reduce(lambda x, y: x + y, (F.col(s) * w for s, w in WEIGHTS.items())) / total, 4)
-    parts = F.filter(F.array(*(F.struct((-F.bround(F.col(s) * w, 4)).alias("c"), F.lit(s).alias("signal")) for s, w in WEIGHTS.items())), lambda x: x["c"] < 0)
-    top = F.transform(F.slice(F.array_sort(parts), 1, 3), lambda x: x["signal"])
+    """K1, K4, K5: node_id, score, level, and the three largest contributions of signals that aren't 0 as text.
+
+    The score adds up contributions of 4 digits. Equal contributions are in the order of WEIGHTS.
+    """
+    rows = signals.select("node_id", "entity_type", *(F.struct((-weighted(s)).alias("c"), F.lit(i).alias("place"), F.lit(s).alias("signal"), nearest(F.col(s), 4).alias("value")).alias(s) for i, s in enumerate(WEIGHTS)))
+    total = reduce(lambda x, y: x - y, (F.col(s)["c"] for s in WEIGHTS), F.lit(0.0))
+    score = nearest(clamp(total / sum(WEIGHTS.values())), 4)
+    active = F.filter(F.array(*WEIGHTS), lambda x: x["value"] > 0)
+    top = F.transform(F.slice(F.array_sort(active), 1, 3), lambda x: x["signal"])
     text = F.when(F.size(top) == 0, "No active signals.").otherwise(F.concat(F.lit("Main signals: "), F.array_join(top, ", "), F.lit(".")))
-    return signals.select("node_id", "entity_type", score.alias("score"), level(score).alias("level"), top.alias("top_signals"), text.alias("explanation"))
+    return rows.select("node_id", "entity_type", score.alias("score"), level(score).alias("level"), top.alias("top_signals"), text.alias("explanation"))
 
 
 def signal_table(signals: DataFrame) -> DataFrame:
-    """K6: (node_id, signal, value, weight, contribution), a row per signal."""
-    rows = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("value"), F.lit(w).alias("weight"), F.bround(F.col(s) * w, 4).alias("contribution")) for s, w in WEIGHTS.items()))
+    """K6: (node_id, signal, value, weight, contribution), a row per signal; value and contribution have 4 digits."""
+    rows = F.array(*(F.struct(F.lit(s).alias("signal"), nearest(F.col(s), 4).alias("value"), F.lit(w).alias("weight"), weighted(s).alias("contribution")) for s, w in WEIGHTS.items()))
     return signals.select("node_id", F.explode(rows).alias("r")).select("node_id", "r.*")
 
 
 def case_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """K3: every case: mean of min(entities / 20, 1) and min(relationship types / 6, 1); 4 digits."""
+    """K3: every case: mean of min(entities / 20, 1) and min(relationship types / 6, 1), each of 4 digits; 4 digits."""
     case = nodes.where("lower(entity_type) = 'case'").select(F.col("node_id").alias("case_id"))
     counted = g.case_members(nodes, edges).groupBy("case_id").agg(F.count_distinct("member_id").alias("e"), F.count_distinct("rel_type").alias("t"))
-    score = F.bround((clamp(F.coalesce("e", F.lit(0)) / 20) + clamp(F.coalesce("t", F.lit(0)) / 6)) / 2, 4)
+    part = lambda c, most: nearest(clamp(F.coalesce(c, F.lit(0)) / most), 4)
+    score = nearest((part("e", 20) + part("t", 6)) / 2, 4)
     return case.join(counted, "case_id", "left").select("case_id", score.alias("score"), level(score).alias("level"))
 
 

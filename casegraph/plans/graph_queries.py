@@ -436,7 +436,9 @@ SIGNALS = PEDGES + """, pdeg AS (
   SELECT node_id, entity_type, least(1.0, round_even(total_degree / (SELECT max(degree) FROM pn), 4))::DOUBLE AS connectivity, least(1.0, coalesce(types, 0) / 6)::DOUBLE AS diversity,
     CASE WHEN p > 1 THEN least(1.0, p / 5) ELSE 0 END::DOUBLE AS shared, 0::DOUBLE AS accomplice, least(1.0, coalesce(n, 0) / 4)::DOUBLE AS patterns, coalesce(density, 0)::DOUBLE AS density
   FROM nodes LEFT JOIN pdeg USING (node_id) LEFT JOIN pdiv USING (node_id) LEFT JOIN people USING (node_id) LEFT JOIN pats USING (node_id) LEFT JOIN dens USING (node_id)
-), risk AS (SELECT *, round_even(round((connectivity * 0.25::DOUBLE + diversity * 0.15::DOUBLE + shared * 0.2::DOUBLE + accomplice * 0.25::DOUBLE + patterns * 0.1::DOUBLE + density * 0.05::DOUBLE) / TOTAL::DOUBLE, 10) * 10000, 0) / 10000 AS score FROM sig)""".replace("TOTAL", repr(sum(k.WEIGHTS.values())))
+), risk AS (SELECT *, printf('%.4f', (CONTRIBUTIONS) / TOTAL::DOUBLE)::DOUBLE AS score FROM sig)""".replace(
+    "CONTRIBUTIONS", " + ".join(f"printf('%.4f', {n} * {w}::DOUBLE)::DOUBLE" for n, w in k.WEIGHTS.items())
+).replace("TOTAL", repr(sum(k.WEIGHTS.values())))
 
 
 def signals(s, d):
@@ -459,19 +461,19 @@ def _(s, d):
 @query(
     "k03_case_risk",
     MEMBERS + f""", c AS (SELECT node_id AS case_id, count(DISTINCT member_id) AS e, count(DISTINCT rel_type) AS t FROM nodes LEFT JOIN members ON case_id = node_id WHERE entity_type = 'case' GROUP BY node_id
-), r AS (SELECT case_id, round_even((least(1.0, e / 20) + least(1.0, t / 6)) / 2, 4)::DOUBLE AS score FROM c) SELECT *, {LEVEL} FROM r""",
+), r AS (SELECT case_id, printf('%.4f', (printf('%.4f', least(1.0, e / 20)::DOUBLE)::DOUBLE + printf('%.4f', least(1.0, t / 6)::DOUBLE)::DOUBLE) / 2)::DOUBLE AS score FROM c) SELECT *, {LEVEL} FROM r""",
 )
 def _(s, d):
     return k.case_risk(*both(s, d))
 
 
-WEIGHTED = ", ".join(f"{{signal: '{n}', value: {n}, weight: {w}::DOUBLE, contribution: round_even({n} * {w}::DOUBLE, 4)}}" for n, w in k.WEIGHTS.items())
-LONG = SIGNALS + f", long AS (SELECT node_id, r.signal, r.value, r.weight, r.contribution FROM (SELECT node_id, unnest([{WEIGHTED}]) AS r FROM sig))"
+WEIGHTED = ", ".join(f"{{place: {i}, signal: '{n}', value: printf('%.4f', {n})::DOUBLE, weight: {w}::DOUBLE, contribution: printf('%.4f', {n} * {w}::DOUBLE)::DOUBLE}}" for i, (n, w) in enumerate(k.WEIGHTS.items()))
+LONG = SIGNALS + f", long AS (SELECT node_id, r.place, r.signal, r.value, r.weight, r.contribution FROM (SELECT node_id, unnest([{WEIGHTED}]) AS r FROM sig))"
 
 
 @query(
     "k05_top_signals",
-    LONG + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY contribution DESC, signal) AS rank FROM long WHERE contribution > 0
+    LONG + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY contribution DESC, place) AS rank FROM long WHERE value > 0
 ), top AS (SELECT node_id, string_agg(signal, ',' ORDER BY rank) AS top_signals, string_agg(signal, ', ' ORDER BY rank) AS names FROM ranked WHERE rank <= 3 GROUP BY node_id)
 SELECT node_id, coalesce(top_signals, '') AS top_signals, CASE WHEN names IS NULL THEN 'No active signals.' ELSE 'Main signals: ' || names || '.' END AS explanation FROM nodes LEFT JOIN top USING (node_id)""",
 )
@@ -479,6 +481,6 @@ def _(s, d):
     return k.entity_risk(signals(s, d)).select("node_id", "top_signals", "explanation")
 
 
-@query("k06_signal_table", LONG + " SELECT * FROM long")
+@query("k06_signal_table", LONG + " SELECT * EXCLUDE (place) FROM long")
 def _(s, d):
     return k.signal_table(signals(s, d))

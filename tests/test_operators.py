@@ -203,6 +203,19 @@ def test_readers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first().x == ["a"]
 
 
+def test_entity_risk_rounds_contributions_first(spark):
+    names = list(k.WEIGHTS)
+    values = [[i / 9999 % 1, i % 7 / 6, i % 6 / 5, i % 5 / 4, i % 3 / 2, 1 / (1 + i)] for i in range(400)] + [[0.0] * 5 + [0.0009], [0.0] * 6]
+    rows = spark.createDataFrame([(i, "person", *v) for i, v in enumerate(values)], ", ".join(["node_id long, entity_type string", *(f"{n} double" for n in names)]))
+    table = {(r.node_id, r.signal): (r.value, r.contribution) for r in k.signal_table(rows).collect()}
+    for r in k.entity_risk(rows).collect():
+        parts = {n: round(v * k.WEIGHTS[n], 4) for n, v in zip(names, values[r.node_id])}
+        assert {n: table[r.node_id, n] for n in names} == {n: (round(v, 4), parts[n]) for n, v in zip(names, values[r.node_id])}
+        assert r.score == round(sum(parts.values()) / sum(k.WEIGHTS.values()), 4)
+        active = [n for n, v in zip(names, values[r.node_id]) if round(v, 4) > 0]
+        assert r.top_signals == sorted(active, key=lambda n: -parts[n])[:3]
+
+
 def test_merge_and_empty_records(spark):
     old = spark.createDataFrame([("a", "x", "b", 0.1), ("a", "x", "c", 0.2)], "src string, rel_type string, dst string, confidence double")
     new = spark.createDataFrame([("a", "x", "b", 0.9)], old.schema)
