@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,13 @@ def rounded(c: Column, digits: int) -> Column:
 
 
 def nearest(c: Column, digits: int) -> Column:
-    """The decimal nearest to the double's exact value, half-even: 0.31985 is a little over its digits and gives 0.3199."""
-    return F.regexp_replace(F.format_number(c, digits), ",", "").cast("double")
+    """The decimal nearest to the exact value of a double of 0 or more, half-even: 0.31985 is a little over its digits and gives 0.3199.
+
+    format_number does so but for values under one unit of the last digit, which it takes for 0.
+    """
+    unit, half = 10.0**-digits, 5 * 10.0 ** -(digits + 1)
+    up = c >= half if Decimal(half) > Decimal(5).scaleb(-digits - 1) else c > half
+    return F.when(c < unit, F.when(up, unit).otherwise(0.0)).otherwise(F.regexp_replace(F.format_number(c, digits), ",", "").cast("double"))
 
 
 def weighted(signal: str) -> Column:

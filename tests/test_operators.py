@@ -205,7 +205,7 @@ def test_readers(spark, tmp_path):
 
 def test_entity_risk_rounds_contributions_first(spark):
     names = list(k.WEIGHTS)
-    values = [[i / 9999 % 1, i % 7 / 6, i % 6 / 5, i % 5 / 4, i % 3 / 2, 1 / (1 + i)] for i in range(400)] + [[0.0] * 5 + [0.0009], [0.0] * 6]
+    values = [[i / 9999 % 1, i % 7 / 6, i % 6 / 5, i % 5 / 4, i % 3 / 2, 1 / (1 + i)] for i in range(400)] + [[0.0] * 5 + [0.0009], [0.0] * 5 + [0.001], [0.0002] * 6, [0.0] * 6]
     rows = spark.createDataFrame([(i, "person", *v) for i, v in enumerate(values)], ", ".join(["node_id long, entity_type string", *(f"{n} double" for n in names)]))
     table = {(r.node_id, r.signal): (r.value, r.contribution) for r in k.signal_table(rows).collect()}
     for r in k.entity_risk(rows).collect():
