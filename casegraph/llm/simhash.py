@@ -18,7 +18,7 @@ give empty results; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -49,20 +49,26 @@ def _triples() -> list[tuple[int, int, int]]:
 TRIPLES = _triples()
 
 
-def fingerprint(raw: bytes | None, size: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash; a bit is set where over half of the shingles' hashes have it."""
+def shingle_hashes(raw: bytes | None, size: int) -> list[int]:
+    """The hashes of the text's shingles in order."""
     words = raw.translate(ASCII_LOWER).split() if raw else []
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = [0, *(spaces + 1).tolist()]
-        ends = [*spaces.tolist(), len(joined)]
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = [0, *(spaces + 1).tolist()]
+    ends = [*spaces.tolist(), len(joined)]
+    h = xxhash.xxh64_intdigest
+    return [h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
+
+
+def fingerprint(raw: bytes | None, size: int = WORDS) -> int:
+    """Unsigned 64-bit SimHash; a bit is set where over half of the shingles' hashes have it."""
+    hashes = shingle_hashes(raw, size)
+    if not hashes:
+        return 0
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[i : i + (1 << 16)], "<u8")
@@ -179,21 +185,31 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fp, root (one fingerprint for all of a component), component_id (its smallest doc_id)."""
     rows = checkpointed(fingerprints(docs, id_col, text_col))
+    return rooted(rows, links(rows.select("fp").distinct()))
+
+
+def rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows(doc_id, fp) with the root and component_id of their components over linked(a, b)."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct)).select(F.col("node").alias("fp"), F.col("component"))
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    roots = components(linked).select(F.col("node").alias("fp"), F.col("component"))
+    found = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = found.join(smallest, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, the one with the smallest id, with all its columns.
+    """One row of docs for each component, the one with the smallest id, with all its columns."""
+    return one_each(docs, clustered(docs, id_col, text_col), fingerprint, id_col, text_col)
+
+
+def one_each(docs: DataFrame, clusters: DataFrame, hashed: Callable[[bytes | None], int], id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each component of clusters, whose fp is the texts' `hashed`.
 
     Ids that several rows share, and null ids, are settled by the rows' fingerprints, so that such a row stands or
     falls with its own component.
     """
-    rows = checkpointed(clustered(docs, id_col, text_col))
+    rows = checkpointed(clusters)
     ids = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     single = ids.where("doc_id is not null and n = 1").select(F.col("doc_id").alias("kept_id"))
     out = docs.join(single, docs[id_col] == F.col("kept_id"), "left_semi")
@@ -206,7 +222,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = _signed([fingerprint(x) for x in utf8(batch.column(text_col).cast(pa.string()))])
+                found = _signed([hashed(x) for x in utf8(batch.column(text_col).cast(pa.string()))])
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, extra])
 
         some = some.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())]))
