@@ -24,21 +24,26 @@ def utf8(array: pa.Array) -> list[bytes | None]:
     return array.cast(kind).to_pylist()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares. Only a local master may do without the setting: it has no other machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (shared or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the folder that the cluster shares, so that a lost executor loses nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder that the cluster shares, read again; later passes read only what they need."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{shared.rstrip('/')}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,16 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the A-Z-lower-cased text: ASCII letters and digits, and
 every character beyond ASCII. A window is `size` consecutive words of an item; an item with fewer words, but
-not none, is one window. All windows go into one automaton over normalised text (words between single spaces),
-which reads each document once. The normalised text keeps one byte for each byte of a word, so a match is
-mapped back to byte offsets of the original text.
+not none, is one window.
 
-The automaton is broadcast. Items are taken in blocks of at most `block_bytes` of text, so its size has a bound;
-more blocks mean more passes over the documents, not a larger automaton.
+The automaton's letters are word numbers. Its patterns are the short items, and each item cut into pieces of size / 2 words:
+every window holds a whole piece, so wherever one occurs, the windows around it are looked up in a sorted list of
+all windows and compared word by word. That takes one node a word of the items (a trie of all windows
+would take `size` times as many); the whole model needs about 20 bytes a byte of benchmark text.
+A text is read once. A hit word is mapped back to byte offsets of the original text.
+
+The model is broadcast. Items are taken in blocks of at most `block_bytes` UTF-8 bytes, so its size has a bound. A benchmark
+of several blocks costs as many passes over a written copy of the documents, whose rows carry a number.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window; an item
 without an id marks words but is not listed; items with equal ids count once; repeated rows are judged one by one;
@@ -28,58 +32,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import utf8, written
 
 #: Separators become spaces, A-Z become a-z, other bytes stay.
 NORMAL = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: An odd multiplier for the hash of a window.
+ODD = 0x9E3779B97F4A7C15
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(NORMAL).split() if raw else []
 
 
-def windows_of(raw: bytes | None, size: int = WINDOW) -> set[bytes]:
-    words = words_of(raw)
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-@functools.lru_cache(maxsize=2)
-def _automaton(items: Broadcast, size: int) -> tuple[ahocorasick.Automaton | None, list[str | None]]:
-    """Of (item id, text) pairs. A window's value: its number of words, its length in bytes, the items that have it."""
-    ids: list[str | None] = [i for i, _ in items.value]
-    owners: dict[bytes, list[int]] = {}
-    for k, (_, text) in enumerate(items.value):
-        for w in windows_of(text.encode("utf-8", "replace") if text else None, size):
-            owners.setdefault(w, []).append(k)
-    if not owners:
-        return None, ids
-    automaton = ahocorasick.Automaton()
-    for w, ks in owners.items():
-        # Latin-1 gives one character for a byte, whatever the byte.
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w), ks))
-    automaton.make_automaton()
-    return automaton, ids
-
-
-def _runs(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[int]]:
+class Matcher:
+    """The automaton over (item id, text) pairs and the sorted windows of the longer items."""
+
+    def __init__(self, items: list[tuple[str | None, str]], size: int) -> None:
+        self.size, self.piece = size, size // 2
+        self.ids = [i for i, _ in items]
+        self.number: dict[bytes, int] = {}
+        numbered = [[self.number.setdefault(w, len(self.number) + 1) for w in words_of(t.encode("utf-8", "replace"))] for _, t in items]
+        pieces: set[tuple[int, ...]] = set()
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k, words in enumerate(numbered):
+            if len(words) >= size:
+                pieces.update(tuple(words[i : i + self.piece]) for i in range(0, len(words) - self.piece + 1, self.piece))
+            elif words:
+                short.setdefault(tuple(words), []).append(k)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for p in pieces | short.keys():
+            self.automaton.add_word(p, (len(p), p in pieces, short.get(p)))
+        if pieces or short:
+            self.automaton.make_automaton()
+
+        long = [k for k, words in enumerate(numbered) if len(words) >= size]
+        self.words = np.array([w for k in long for w in numbered[k]], np.uint32)
+        lengths = np.array([len(numbered[k]) for k in long], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.begin = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(starts, starts[1:])]) if long else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.array(long, np.int64), lengths - size + 1) if long else np.zeros(0, np.int64)
+        at = np.zeros(len(self.begin), np.uint64)
+        for i in range(size):
+            at = at * np.uint64(ODD) + self.words[self.begin + i] + np.uint64(1)
+        order = np.argsort(at, kind="stable")
+        self.at, self.begin, self.owner = at[order], self.begin[order], self.owner[order]
+
+    def owners(self, window: list[int]) -> set[int]:
+        """The items that hold these words."""
+        at = 0
+        for w in window:
+            at = (at * ODD + w + 1) & 0xFFFFFFFFFFFFFFFF
+        low, high = np.searchsorted(self.at, np.uint64(at)), np.searchsorted(self.at, np.uint64(at), "right")
+        own = np.array(window, np.uint32)
+        return {int(self.owner[j]) for j in range(low, high) if np.array_equal(self.words[self.begin[j] : self.begin[j] + self.size], own)}
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, set[int]]]:
+        """(first word, number of words, items) of each window in a text; repeated where several pieces lead to it."""
+        if not len(self.automaton):
+            return
+        numbers = tuple([self.number.get(w, 0) for w in words])
+        seen = -1
+        for end, (n, piece, items) in self.automaton.iter(numbers):
+            first = end - n + 1
+            if items:
+                yield first, n, set(items)
+            if piece:
+                # Windows that begin up to a piece earlier; those before `seen` were looked up for the last piece.
+                low, high = max(first - self.size + self.piece, seen + 1, 0), min(first, len(words) - self.size)
+                for a in range(low, high + 1):
+                    found = self.owners(numbers[a : a + self.size])
+                    if found:
+                        yield a, self.size, found
+                seen = max(seen, high)
+
+
+@functools.lru_cache(maxsize=1)
+def _matcher(items: Broadcast, size: int) -> Matcher:
+    return Matcher(items.value, size)
+
+
+def _runs(words: list[bytes], matcher: Matcher) -> tuple[list[tuple[int, int]], set[int]]:
     """Runs [from, to) of hit words, and the items found."""
-    runs: list[tuple[int, int]] = []
+    pairs: list[tuple[int, int]] = []
     items: set[int] = set()
-    starts = None
-    for end, (n, length, owners) in automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
-        if starts is None:  # character at which each word starts, the leading space counted
-            starts = np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
-        first = int(np.searchsorted(starts, end - length))
-        items.update(owners)
-        if runs and first <= runs[-1][1]:
-            runs[-1] = (min(first, runs[-1][0]), max(first + n, runs[-1][1]))
+    for first, n, owners in matcher.find(words):
+        pairs.append((first, first + n))
+        items |= owners
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(pairs):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
         else:
-            runs.append((first, first + n))
-        while len(runs) > 1 and runs[-1][0] <= runs[-2][1]:
-            last = runs.pop()
-            runs[-1] = (min(last[0], runs[-1][0]), max(last[1], runs[-1][1]))
+            runs.append((a, b))
     return runs, items
 
 
@@ -93,14 +139,14 @@ def _spans(raw: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items, a bounded block at a time."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.octet_length(F.col(text_col).cast("string"))).where(F.col(text_col).isNotNull())
     block, size = [], 0
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > block_bytes:
+    for item, text, n in rows.toLocalIterator():
+        if block and size + n > block_bytes:
             yield block
             block, size = [], 0
         block.append((item, text))
-        size += len(text)
+        size += n
     yield block
 
 
@@ -108,14 +154,14 @@ RESULT = "n_words long, n_hit long, n_items long, items array<string>, spans arr
 
 
 def _scan(batches: Iterator[pa.RecordBatch], items: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
-    automaton, ids = _automaton(items, size)
+    matcher = _matcher(items, size)
     for batch in batches:
         out: dict[str, list] = {n: [] for n in ("n_words", "items", "spans", "runs")}
         for raw in utf8(batch.column("text")):
             words = words_of(raw)
-            runs, found = _runs(words, automaton) if automaton is not None and words else ([], set())
+            runs, found = _runs(words, matcher)
             out["n_words"].append(len(words))
-            out["items"].append(sorted({ids[k] for k in found if ids[k] is not None}))
+            out["items"].append(sorted({matcher.ids[k] for k in found if matcher.ids[k] is not None}))
             out["spans"].append(_spans(raw, runs) if runs else [])
             out["runs"].append([{"a": a, "b": b} for a, b in runs])
         pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
@@ -130,8 +176,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text", block_bytes)]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # A row's number is only needed where the results of several blocks meet; it is stable as long as the input's files are.
-    narrow = narrow.withColumn("row", F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long"))
+    # A row's number is only needed where the results of several blocks meet; all passes read it from one written table.
+    several = len(blocks) > 1
+    narrow = written(narrow.withColumn("row", F.monotonically_increasing_id())) if several else narrow.withColumn("row", F.lit(0).cast("long"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row long, n_words long, items array<string>, spans array<struct<start: long, end: long>>, runs array<struct<a: long, b: long>>"
     parts = [narrow.mapInArrow(functools.partial(_scan, items=b, size=size), schema) for b in blocks]
@@ -168,24 +215,20 @@ def _merged(pieces, start: str, end: str):
 def filtered(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """The rows of docs without any window of the benchmark, with all their columns; no shuffle."""
     sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, "item_id", "text", block_bytes):
+    for k, items in enumerate(_blocks(benchmark, "item_id", "text", block_bytes)):
         shared = sc.broadcast(items)
+        docs = written(docs) if k else docs  # so that one task holds one automaton at a time
 
         def keep(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            automaton, _ = _automaton(shared, size)
+            matcher = _matcher(shared, size)
             for batch in batches:
-                texts = utf8(batch.column(text_col))
-                clean = [automaton is None or not raw or not _hit(words_of(raw), automaton) for raw in texts]
+                clean = [next(matcher.find(words_of(raw)), None) is None for raw in utf8(batch.column(text_col))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 
-def _hit(words: list[bytes], automaton: ahocorasick.Automaton) -> bool:
-    return next(automaton.iter(f" {b' '.join(words).decode('latin-1')} "), None) is not None
-
-
 def items_sha256(items):
     """Lower-case hex of the sorted item ids, comma-joined."""
     return F.sha2(F.concat_ws(",", items), 256)

@@ -64,7 +64,7 @@ def test_decontamination_brute_force(spark):
     rows = [*ODD, (7, text), (8, prose(14, 1)), (9, "short\nitem short item"), (11, prose(20000, 5) + " " + prose(10, 2))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = collections.Counter((i, *brute_hits(t, items)[:2], ",".join(brute_hits(t, items)[2])) for i, t in rows)
-    for block in (1 << 20, 1):  # one automaton, or one for each item
+    for block in (1 << 20, 200, 1):  # one automaton, or one for each item
         found = decontaminate.scan(docs(spark, rows), bench, block_bytes=block).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found) == expected
         assert all(r.contaminated == (r.n_hit > 0) and r.n_items == len(r["items"]) for r in found)
