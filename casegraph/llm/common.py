@@ -89,3 +89,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(pairs.select("v", "v").distinct())
+
+
+#: A key is hot if it has more than one in HOT of all rows; there are HOT such keys at most.
+HOT = 2000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with keyed, whose keys are unique and whose `count` is their number of rows, of `total` in all.
+
+    The few hot keys are broadcast, so that no task gets all rows of one; the others meet in a shuffle, or as Spark chooses.
+    """
+    hot = keyed.where(F.col(count) * HOT > total)
+    met = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) * HOT <= total), on)
+    return met.unionByName(rest)

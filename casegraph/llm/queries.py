@@ -128,27 +128,37 @@ if corpus_pipeline.ORACLE_SQL:
 @query(
     "op7_line_templates",
     r"""
-WITH lines AS (
-  SELECT doc_id, text, i - 1 AS line, parts[i] AS words
-  FROM (SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents))
+WITH docs AS (
+  SELECT doc_id, text, row_number() OVER () AS r FROM documents
+), lines AS (
+  SELECT r, doc_id, text, i - 1 AS line, parts[i] AS words
+  FROM (SELECT r, doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT r, doc_id, text, string_split(text, chr(10)) AS parts FROM docs))
 ), tokens AS (
   SELECT *, list_transform(regexp_extract_all(words, '[^\x20\x09-\x0D]+'), lambda t : CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM lines
-), long AS (
-  SELECT *, len(t) AS n, len(t) - 2 AS free FROM tokens WHERE len(t) >= 3
+), sized AS (
+  SELECT *, len(t) AS n FROM tokens WHERE len(t) > 0
 ), each AS (
-  SELECT doc_id, text, line, n::VARCHAR || ' whole ' || array_to_string(t, ' ') AS template FROM long
-  UNION ALL
-  SELECT doc_id, text, line, n::VARCHAR || ' part ' || j::VARCHAR || ' ' || array_to_string(t[1 : 2 + (free * j) // 5], ' ') || ' <*> ' || array_to_string(t[3 + (free * (j + 1)) // 5 : n], ' ')
-  FROM long, (SELECT unnest(range(0, 5)) AS j) WHERE free >= 5
+  SELECT r, text, line, n, t[1] AS lead, j, greatest(n * j // 8, least(j, n)) AS low, greatest(n * (j + 1) // 8, least(j + 1, n)) AS high,
+         array_to_string(t[greatest(n * j // 8, least(j, n)) + 1 : greatest(n * (j + 1) // 8, least(j + 1, n))], ' ') AS stretch
+  FROM sized, (SELECT unnest(range(0, 8)) AS j) WHERE j < n
+), often AS (
+  SELECT n, lead, j, stretch, count(*) AS c FROM each GROUP BY ALL HAVING count(*) >= CASE WHEN n <= 2 THEN 20 WHEN n >= 40 THEN 2 ELSE 5 END
+), met AS (
+  SELECT e.*, c FROM each e JOIN often o USING (n, lead, j, stretch)
+), candidates AS (
+  SELECT m.r, m.text, m.line, m.n, m.lead, k.c, list(m.j ORDER BY m.j) AS places, list(m.stretch ORDER BY m.j) AS parts
+  FROM met m JOIN (SELECT DISTINCT r, line, c FROM met) k ON k.r = m.r AND k.line = m.line AND m.c >= k.c
+  GROUP BY m.r, m.text, m.line, m.n, m.lead, k.c HAVING sum(m.high - m.low) >= 0.6 * m.n
 ), recurring AS (
-  SELECT template FROM each GROUP BY template HAVING count(DISTINCT text) >= 5
+  SELECT n, lead, places, parts FROM candidates GROUP BY ALL
+  HAVING count(DISTINCT text) >= CASE WHEN n <= 2 THEN 20 WHEN n >= 40 AND len(parts) = least(n, 8) THEN 2 ELSE 5 END
 ), dropped AS (
-  SELECT DISTINCT doc_id, text, line FROM each WHERE template IN (SELECT template FROM recurring)
+  SELECT DISTINCT r, line FROM candidates SEMI JOIN recurring USING (n, lead, places, parts)
 )
 SELECT l.doc_id, count(CASE WHEN l.text <> '' THEN 1 END)::BIGINT AS n_lines, count(d.line)::BIGINT AS n_dropped,
        md5(coalesce(string_agg(CASE WHEN d.line IS NULL THEN l.words END, chr(10) ORDER BY l.line), '')) AS clean_md5
-FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.text = d.text AND l.line = d.line
-GROUP BY l.doc_id, l.text
+FROM lines l LEFT JOIN dropped d ON l.r = d.r AND l.line = d.line
+GROUP BY l.r, l.doc_id, l.text
 """,
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

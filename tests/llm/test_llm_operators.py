@@ -304,6 +304,13 @@ def test_line_templates(spark):
     rows += [(40 + i, prose(15, 77)) for i in range(8)]  # copies are one text
     long_shared = prose(60, 5)
     rows += [(60 + i, prose(8, 200 + i) + "\n" + long_shared) for i in range(5)] + [(70 + i, " ".join(prose(8, 300 + i) for _ in range(2))) for i in range(6)]
+    names = "ada bob cyd dan eve fay gus hal".split()
+    cities = "Rome Oslo Bern Bonn Riga Linz Graz Ulm".split()
+    fields = [f"user {n} logged in from city {c} through the main gate today" for n, c in zip(names, cities)]
+    rows += [(600 + i, prose(25, 600 + i) + "\n" + fields[i] + f"\nposted by {names[i]} today\n" + prose(12, 620 + i)) for i in range(8)]
+    rows += [(700 + i, prose(30, 700 + i) + "\nShare this") for i in range(20)] + [(730, prose(30, 730) + "\nOnce here"), (731, "posted at Rome today"), (732, "user ada went home from city Rome before the main gate opened")]
+    passage = prose(55, 800)
+    rows += [(800, prose(9, 801) + "\n" + passage), (801, passage + "\n" + prose(9, 802)), (802, prose(100000, 3) + "\n" + "\n".join(fields))]
     found = {}
     for r in linededup.cleaned(docs(spark, rows)).collect():
         found.setdefault(r.row.doc_id, []).append((r.clean_text, r.n_lines, r.n_dropped))
@@ -311,6 +318,10 @@ def test_line_templates(spark):
     assert all(found[10 + i] == [("\n".join(text[10 + i].split("\n")[::2]), 3, 1)] for i in range(6))
     assert found[31] == [("", 2, 2)] and found[30] == [(prose(9, 1) + "\n\n", 3, 0)]
     assert all(found[60 + i] == [(prose(8, 200 + i), 2, 1)] for i in range(5))
+    assert all(found[600 + i] == [(prose(25, 600 + i) + "\n" + prose(12, 620 + i), 4, 2)] for i in range(8))  # two word-valued fields, and a short line
+    assert all(found[700 + i] == [(prose(30, 700 + i), 2, 1)] for i in range(20)) and all(found[i][0][2] == 0 for i in (730, 731, 732))
+    assert found[800] == [(prose(9, 801), 2, 1)] and found[801] == [(prose(9, 802), 2, 1)]  # a long passage in two texts
+    assert found[802] == [(prose(100000, 3), 9, 8)]
     assert found[1] == [(None, 0, 0)] and found[2] == [("", 0, 0)] and len(found[4]) == 2 and all(found[40 + i][0][2] == 0 for i in range(8))
     assert sum(map(len, found.values())) == len(rows)
     assert linededup.cleaned(docs(spark, [])).count() == 0
