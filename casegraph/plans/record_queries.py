@@ -304,7 +304,7 @@ def _(s, d):
     return t.document_statistics(docs, found, t.relations(docs, found))
 
 
-INTENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{w.replace(',', '|')}') THEN '{i}'" for i, w in t.INTENTS.items()) + " ELSE 'general' END"
+INTENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{"|".join(w)}') THEN '{i}'" for i, w in t.INTENTS.items()) + " ELSE 'general' END"
 
 
 @query("t17_intents", f"SELECT conv_id, turn, {INTENT} AS intent FROM conversations", model=False)
