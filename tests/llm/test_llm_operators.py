@@ -11,6 +11,7 @@ import re
 import numpy as np
 import oracle
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -388,7 +389,7 @@ def test_lm_brute_force_and_held_out(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(t), sum(w in c for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
     held = [r for r in found if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
 def test_lm_score_is_the_models(spark):
@@ -397,23 +398,37 @@ def test_lm_score_is_the_models(spark):
     df = docs(spark, rows)
     model, counted = lm.train(df.select("text"), head=40)
     c = {bytes(r.token): r.c for r in counted.collect()}
-    assert len(c) > 100 and sum(c.values()) == model.tokens
+    assert len(c) > 100 and sum(c.values()) == model.tokens and np.abs(model.weights).max() > 0.05
+    # Over all tokens and one unseen word a slot, the probabilities add up to 1 where nothing precedes.
+    shares = [(w, lm.suffix(w), model.head.index(w) if w in model.head else -1) for w in c]
+    by_leaf = collections.Counter(k for w, k, p in shares if p < 0 or (p >= lm.OWN and model.slot[p] < 0))
+    sums = collections.Counter()
+    for w, k, p in shares:
+        if p < 0 or (p >= lm.OWN and model.slot[p] < 0):
+            sums[k] += c[w]
+    assert all(model.leaf[k] == sums[k] + by_leaf[k] + 1 for k in itertools.product(range(lm.SHARED), repeat=2))
+
+    def softmax(x):
+        return np.exp(x.astype(float)) / np.exp(x.astype(float)).sum()
 
     def brute(text):
-        words = lm.Words(model)
         tokens = lm.tokens_of(text.encode() if text else None)
-        for w in tokens:
-            words.number.setdefault(w, len(words.number))
-        words.grow()
-        flat = np.array([0, 0, *(words.number[w] for w in tokens)])
+        hashes = np.array([0, 0, *(xxhash.xxh64_intdigest(w) for w in tokens)], np.uint64)
+        hashes[:2] = xxhash.xxh64_intdigest(b" ")
         total = 0.0
         for t, w in enumerate(tokens):
-            f = lm._features(words.hash[flat], np.array([t + 2]))
-            x = model.bias + sum(model.weights[r[0]] for r in f)
-            p = np.exp(x.astype(float)) / np.exp(x.astype(float)).sum()
-            k = words.cls[flat[t + 2]]
-            within = 1.0 if k < lm.OWN else (c.get(w, 0) + 1) / (model.class_tokens[k] + model.class_distinct[k] + 1)
-            total += math.log10(p[k] * within)
+            mixed = lm._mixed(hashes, np.array([t + 2]))
+            p = softmax(model.bias + sum(model.weights[r[0]] for r in lm._rows(mixed, len(model.weights))))
+            place = model.head.index(w) if w in model.head else -1
+            if 0 <= place < lm.OWN:
+                total += math.log10(p[place])
+                continue
+            k, shared = lm.suffix(w)
+            n = len(model.slot_weights) // lm.SHARED
+            q = softmax(model.slot_bias[k] + sum(model.slot_weights[k * n + r[0]] for r in lm._rows(mixed, n)))
+            own = place >= 0 and model.slot[place] >= 0
+            leaf = 1.0 if own else (c.get(w, 0) + 1) / model.leaf[k, shared]
+            total += math.log10(p[lm.OWN + k] * q[model.slot[place] if own else lm.OWN + shared] * leaf)
         return total
 
     found = lm.score(df, model, counted).collect()
