@@ -168,13 +168,45 @@ def test_simhash_links_in_blocks(spark, block):
 
 def test_license_scan(spark):
     t = licenses.TEMPLATES
-    edited = t["MIT-grant"].replace("merge, publish", "merge and publish")
-    rows = [*ODD, (10, f"{prose(50, 1)}\n{t['Apache-2.0']}\n{prose(20, 2)}"), (11, f"{prose(7, 3)} {edited.upper()} end"), (12, t["MIT-grant"][:150]),
-            (13, "ALL rights -- reserved! " + t["GPL-3.0"] + " " + t["GPL-3.0"]), (13, "x"), (None, t["CC-BY-NC-4.0"]), (14, prose(60000, 4) + " " + t["MIT"]), (15, t["MIT"]), (15, t["MIT"])]
+    edited = t["MIT-text"].replace("merge, publish", "merge and publish")
+    rows = [*ODD, (10, f"{prose(50, 1)}\n{t['Apache-2.0']}\n{prose(20, 2)}"), (11, f"{prose(7, 3)} {edited.upper()} end"), (12, t["MIT-text"][:150]),
+            (13, "ALL rights -- reserved! " + t["GPL-3.0"] + " " + t["GPL-3.0"]), (13, "x"), (None, t["CC-BY-NC-4.0"]), (14, prose(60000, 4) + " " + t["MIT"]), (15, t["MIT"]), (15, t["MIT"]), (16, "Copyright me " + t["BSD-2-Clause"]), (17, t["BSD-3-Clause"])]
     found = collections.Counter((r.doc_id, r.license, r.word) for r in licenses.scanned(docs(spark, rows)).collect())
-    assert found == collections.Counter([(10, "Apache-2.0", 50), (11, "MIT-grant", 7), (13, "all-rights-reserved", 0), (13, "GPL-3.0", 3), (None, "CC-BY-NC-4.0", 0), (14, "MIT", 60000), (15, "MIT", 0)])
+    assert found == collections.Counter([(10, "Apache-2.0", 50), (11, "MIT-text", 7), (16, "BSD-2-Clause", 2), (17, "BSD-3-Clause", 0), (13, "all-rights-reserved", 0), (13, "GPL-3.0", 3), (None, "CC-BY-NC-4.0", 0), (14, "MIT", 60000), (15, "MIT", 0)])
     assert licenses.scanned(docs(spark, [])).count() == 0
-    assert licenses.scanned(docs(spark, rows), {"x": "two words"}).count() == 0
+    of = lambda x: spark.createDataFrame(list(x.items()), "license string, template string")
+    assert licenses.scanned(docs(spark, rows), of({"x": "two words"})).count() == 0
+    assert {r.doc_id for r in licenses.scanned(docs(spark, [(1, "a c++ (gpl) b"), (2, "cxx gpl")]), of({"x": "C++ GPL"})).collect()} == {1}
+    tied = of({"x": prose(9, 1), "y": prose(9, 2)})
+    assert sorted((r.doc_id, r.license, r.word) for r in licenses.scanned(docs(spark, [(1, prose(9, 1) + " " + prose(9, 2)), (2, prose(9, 2) + " " + prose(9, 2))]), tied).collect()) == [(1, "x", 0), (1, "y", 9), (2, "y", 0)]
+
+
+def brute_licenses(text, templates):
+    """All stretches of a text against all templates, without bands."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    words, found = split(text), []
+    for name, template in templates.items():
+        own = split(template)
+        k = min(len(own), licenses.SHINGLE)
+        want = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+        have = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        n = len(own) - k + 1
+        size = n + 2 * -(-n // 4) if k == licenses.SHINGLE else 1
+        places = [i for i, x in enumerate(have) if x in want]
+        best = max(((len(want & set(have[a : a + size])) / len(want), n, name, a, size) for a in {max(p - o, 0) for p in places for o in (0, size // 4, size // 2, size - 1)}), default=None)
+        if best and best[0] >= licenses.CONTAINMENT:
+            at = [i for i in range(best[3], best[3] + size) if i < len(have) and have[i] in want]
+            found.append((*best[:3], at[0], at[-1] + k - 1))
+    return {x[2] for x in found if not any(y[3] <= x[4] and y[4] >= x[3] and y[:3] > x[:3] for y in found)}
+
+
+def test_license_scan_brute_force(spark):
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    found = collections.Counter((r.doc_id, r.license) for r in licenses.scanned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect())
+    expected = collections.Counter((i, x) for i, t in rows for x in brute_licenses(t, licenses.TEMPLATES))
+    assert len(expected) > 40 and found == expected
 
 
 # 4
