@@ -4,12 +4,13 @@ A language gives each piece of a fixed public vocabulary a probability. A word's
 segmentations into pieces, by a forward recursion; a text's is the product over its words. Texts go to the language
 with the largest value (priors equal); the score is its posterior per word of the text, a number from 0 to 1.
 
-Words are runs of letters of the lower-cased text, cut at WORD_CHARS characters; the vocabulary is that of a public
+Words are runs of letters of the lower-cased text, whole, whatever their length; the vocabulary is that of a public
 tokenizer, lower-cased, pieces of up to PIECE_CHARS letters. Every single letter seen in training is a piece as well, and
 a letter never seen has the same small probability in each language.
 
 The probabilities come from expectation-maximisation over words of at most `train_docs` labelled texts a language (a
-hash of the id picks them, so the bound holds on average at any size). A round is one pass of tasks, each of which
+hash of the id picks them, so the bound holds on average at any size); words of over WORD_CHARS letters are learned in
+stretches of that length, and scored whole. A round is one pass of tasks, each of which
 sends expected counts for (language, piece): at most languages times pieces, whatever the input.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; learning rows with a null lang or text are
@@ -52,7 +53,8 @@ def public_pieces(path: str = VOCABULARY, longest: int = PIECE_CHARS) -> list[st
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of words, a row each, padded with 0; and their lengths."""
-    codes = np.array(words, dtype=f"<U{WORD_CHARS}").view("<u4").reshape(len(words), WORD_CHARS)
+    longest = max(map(len, words))
+    codes = np.array(words, dtype=f"<U{longest}").view("<u4").reshape(len(words), longest)
     return codes, (codes != 0).sum(1)
 
 
@@ -124,31 +126,52 @@ class Model:
                     alpha[j + 1] += alpha[j + 1 - size] * table[k]
         return alpha, alpha[lengths, np.arange(n)]
 
-    def step(self) -> int:
-        """Words at a time, so that sums for all languages stay within a few MB."""
-        return max(256, 32768 // len(self.languages))
+    def whole(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """[word, language]: logarithms of the forward sums of whole words. Sums are rescaled on the way, so long words don't underflow."""
+        _, width, n = places.shape
+        table = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))])
+        recent, log = [np.ones((n, len(self.languages)))], np.zeros((n, 1))
+        out = np.empty((n, len(self.languages)))
+        for j in range(width):
+            now = np.zeros((n, len(self.languages)))
+            for size in range(1, min(PIECE_CHARS, j + 1) + 1):
+                k = places[size - 1, j]
+                if (k >= 0).any():
+                    now += recent[-size] * table[k]
+            recent = [*recent[1 - PIECE_CHARS :], now]
+            ended = lengths == j + 1
+            if ended.any():
+                out[ended] = np.log(np.maximum(now[ended], 1e-300)) + log[ended]
+            if j % 16 == 15:
+                scale = now.max(1, keepdims=True)
+                scale[scale <= 0] = 1.0
+                recent, log = [x / scale for x in recent], log + np.log(scale)
+        return out
+
+    def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Places in words, codes and lengths of some words of like length, so that sums for all languages stay within a few MB."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        step = max(256, 32768 // len(self.languages))
+        a = 0
+        while a < len(order):
+            b = min(a + step, len(order))
+            while b > a + 1 and (b - a) * len(words[order[b - 1]]) > step * WORD_CHARS:
+                b = a + (b - a) // 2
+            part = order[a:b]
+            yield part, *_codes([words[i] for i in part])
+            a = b
 
     def scores(self, words: list[str]) -> np.ndarray:
         """[word, language]: logarithm of the probability of each word."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
         out = np.empty((len(words), len(self.languages)))
-        step = self.step()
-        for a in range(0, len(order), step):
-            part = order[a : a + step]
-            codes, lengths = _codes([words[i] for i in part])
-            codes = np.ascontiguousarray(codes[:, : int(lengths.max())])
-            out[part] = np.log(np.maximum(self.forward(self.places(codes), lengths)[1], 1e-300))
+        for part, codes, lengths in self.batches(words):
+            out[part] = self.whole(self.places(codes), lengths)
         return out
 
     def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
         """[piece, language]: expected uses of each piece, where times [word, language] counts the words."""
         total = np.zeros_like(self.probabilities)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        step = self.step()
-        for a in range(0, len(order), step):
-            part = order[a : a + step]
-            codes, lengths = _codes([words[i] for i in part])
-            codes = np.ascontiguousarray(codes[:, : int(lengths.max())])
+        for part, codes, lengths in self.batches(words):
             places = self.places(codes)
             alpha, whole = self.forward(places, lengths)
             table = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))])
@@ -170,12 +193,12 @@ class Model:
 
 
 def _words(text: str | None) -> list[str]:
-    if not text:
-        return []
-    found = WORD.findall(text.lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
+    return WORD.findall(text.lower()) if text else []
+
+
+def _stretches(words: list[str]) -> list[str]:
+    """For learning: words of over WORD_CHARS letters in stretches."""
+    return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)] if any(len(w) > WORD_CHARS for w in words) else words
 
 
 def _learning(docs: DataFrame, languages: dict[str, int], train_docs: int) -> DataFrame:
@@ -222,7 +245,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN
                 number: dict[str, int] = {}
                 uses: list[np.ndarray] = []
                 which = batch.column("lang").to_pylist()
-                ids = [np.array([number.setdefault(w, len(number)) for w in _words(t)], np.int64) for t in batch.column("text").to_pylist()]
+                ids = [np.array([number.setdefault(w, len(number)) for w in _stretches(_words(t))], np.int64) for t in batch.column("text").to_pylist()]
                 times = np.zeros((len(number), len(names)))
                 for lang, x in zip(which, ids):
                     times[:, names.index(lang)] += np.bincount(x, minlength=len(number))

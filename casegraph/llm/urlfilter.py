@@ -26,7 +26,7 @@ from .common import checkpointed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
-DAMPING, RATIO, TOLERANCE, ROUNDS, EVERY = 0.85, 1.0, 1e-6, 60, 5
+DAMPING, RATIO, TOLERANCE, ROUNDS, EVERY = 0.85, 1.0, 1e-6, 150, 5
 
 #: (verdict, host and path)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -73,6 +73,8 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, toleran
                 last = rank
                 if (change[0] or 0.0) <= tolerance * (change[1] or 1.0):
                     break
+        else:
+            raise RuntimeError(f"the propagation did not settle in {rounds} rounds")
     totals = rank.groupBy("kind").agg(F.sum("x").alias("all")).join(seeds.groupBy("kind").agg(F.sum("seed").alias("of")), "kind")
     return rank.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("x") / F.col("all") * F.col("of")).alias("score"))  # one row per kind
 

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import oracle
@@ -303,6 +304,16 @@ def test_forward_sums_all_segmentations():
 
     words = ["a", "ab", "abab", "bbaba", "abababababab"]
     assert np.allclose(np.exp(model.scores(words)), [brute(w) for w in words])
+    long = ["ab" * 40 + "a" * k for k in range(5)] + ["b" * 3000]  # whole: pieces lie across any place, and nothing underflows
+
+    def slow(word):
+        a = [[1, 1]]
+        for j in range(len(word)):
+            a.append([sum(a[j + 1 - len(p)][x] * Fraction(of[langid._hash(p)][x]) for p in pieces if word[: j + 1].endswith(p)) for x in range(2)])
+        return [math.log(v.numerator) - math.log(v.denominator) for v in a[-1]]
+
+    assert np.allclose(model.scores(long[:5] + ["b" * 300]), [slow(w) for w in long[:5] + ["b" * 300]])
+    assert np.isfinite(model.scores(long)).all() and model.scores(long)[-1, 0] < -600
     times = np.ones((1, 2))
     use = model.expected(["aba"], times)  # a+b+a, ab+a, a+ba, aba
     ways = [["a", "b", "a"], ["ab", "a"], ["a", "ba"], ["aba"]]
