@@ -11,7 +11,6 @@ table gives an empty ledger.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -165,7 +164,7 @@ def filtered(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "tex
             struct = pa.array(found, pa.struct([(m, pa.int64()) for m in MEASURES]))
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, extra])
 
-    rules = [RULES[r] for r in RULES if r in {*POLICIES["base-1"], *POLICIES[policy]}]
-    of_struct = re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{extra}.\1", " or ".join(f"({r})" for r in rules))
     measured = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(extra, kind)]))
-    return measured.where(~F.expr(of_struct)).drop(extra)
+    # The row as a struct, so that no column of docs clashes with a measurement.
+    book = measured.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), f"{extra}.*").withColumn("failed_bits", failed_bits())
+    return book.where(passes("base-1") & passes(policy)).select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, checkpointed, components, utf8
+from .common import ASCII_LOWER, checkpointed, components, join_hot, utf8
 
 WORDS, SEED, MAX_BITS, BLOCK = 4, 42, 4, 4096
 #: Lists up to this length have all their pairs compared at once; each member then meets a bounded number of others.
@@ -160,7 +160,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     parts = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("fp"), parts).cast("int")
     dealt = (
-        postings.join(lists, "key")
+        join_hot(postings, lists, ["key"], "n", len(TRIPLES) * distinct.count())
         .select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "fp")
         .repartition("block")
@@ -185,17 +185,17 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fp, root (one fingerprint for all of a component), component_id (its smallest doc_id)."""
     rows = checkpointed(fingerprints(docs, id_col, text_col))
-    return rooted(rows, links(rows.select("fp").distinct()))
+    return rooted(rows, links(checkpointed(rows.select("fp").distinct())))
 
 
 def rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """rows(doc_id, fp) with the root and component_id of their components over linked(a, b)."""
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     roots = components(linked).select(F.col("node").alias("fp"), F.col("component"))
-    found = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = found.join(smallest, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    found = checkpointed(distinct.join(roots, "fp", "left").select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("root")))
+    smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    named = join_hot(found, smallest, ["root"], "members", found.count()).select("fp", "copies", "root", "component_id")
+    return join_hot(rows, named, ["fp"], "copies", rows.count()).select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
