@@ -61,18 +61,22 @@ def neighbour_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def jaccard(keys: DataFrame, entities: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
     """(a, b, shared, score) of all pairs a < b that share a neighbour, with score >= threshold; 4 digits.
 
-    `entities` (node) limits which nodes are compared. Pairs form per shared key; a key's nodes are sorted by their number
-    of keys, so that the size bound min / max >= threshold cuts pairs before they are built. Pairs meet their counts
-    with map-side sums.
+    `entities` (node) limits which nodes are compared. A pair of this score shares `threshold` of either's keys, so it meets in one
+    of the first n - threshold * n + 1 of each one's keys, the rarest first: keys that most nodes have (a country) form no pairs
+    unless a node has no other. The pairs that meet are then compared by their whole lists.
     """
-    own = keys if entities is None else keys.join(entities.select("node"), "node", "left_semi")
-    sized = own.join(own.groupBy("node").agg(F.count("*").alias("n")), "node")
-    left = sized.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = sized.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "key").where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    score = F.bround(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4)
-    return counted.select("a", "b", "shared", score.alias("score")).where(F.col("score") >= threshold)
+    own = (keys if entities is None else keys.join(entities.select("node"), "node", "left_semi")).distinct()
+    times = own.groupBy("key").agg(F.count("*").alias("times"))
+    lists = g.checkpointed(own.join(times, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("k")).select("node", F.transform("k", lambda x: x["key"]).alias("keys"), F.size("k").alias("n")))
+    least = threshold - 5e-5  # what rounds up to the threshold
+    first = F.least(F.col("n"), F.col("n") - F.ceil(F.greatest(F.lit(0.0), least * F.col("n") - 1e-9)).cast("int") + 1)
+    heads = lists.select("node", "n", F.explode(F.slice("keys", F.lit(1), first)).alias("key"))
+    pairs = heads.select("key", F.col("node").alias("a"), F.col("n").alias("na")).join(heads.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key")
+    pairs = pairs.where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b").distinct()
+    both = pairs.join(lists.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(lists.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("ka", "kb")).cast("long").alias("shared"), (F.size("ka") + F.size("kb")).alias("n"))
+    score = F.bround(F.col("shared") / (F.col("n") - F.col("shared")), 4)
+    return counted.select("a", "b", "shared", score.alias("score")).where((F.col("score") >= threshold) & (F.col("shared") > 0))
 
 
 def similar_entities(keys: DataFrame, entities: DataFrame | None = None, threshold: float = 0.2, top: int = 10) -> DataFrame:
@@ -197,7 +201,7 @@ def priority(score: Column) -> Column:
 
 def case_analysis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Of every case: score, priority, indicator counts, entities, relationships, and a summary sentence."""
-    found = cross_case_indicators(nodes, edges).union(connectivity_indicators(nodes, edges))
+    found = g.checkpointed(cross_case_indicators(nodes, edges).union(connectivity_indicators(nodes, edges)))
     scores = case_score(found)
     counts = found.groupBy("case_id", "indicator").agg(F.count("*").alias("n")).groupBy("case_id").agg(F.sum("n").alias("indicators"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("indicator", "n")))).alias("categories"))
     joined = g.case_statistics(nodes, edges).join(scores, "case_id", "left").join(counts, "case_id", "left")

@@ -8,10 +8,8 @@ A finding: investigation_id, rule, title, severity, confidence, entity_ids, evid
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -254,59 +252,32 @@ def b22(r: DataFrame) -> DataFrame:
     return _finding(triangles(r), 22, F.lit(0.84), None, F.array("p", "q", "w"))
 
 
-def _articulation(edges: list[tuple[int, int]]) -> list[int]:
-    """Articulation points of one connected graph; without recursion."""
-    near: dict[int, list[int]] = {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    order: dict[int, int] = {}
-    low: dict[int, int] = {}
-    found: set[int] = set()
-    root = min(near)
-    order[root] = low[root] = 0
-    stack: list[tuple[int, int | None, Iterator[int]]] = [(root, None, iter(near[root]))]
-    branches = 0
-    while stack:
-        x, parent, rest = stack[-1]
-        y = next(rest, None)
-        if y is None:
-            stack.pop()
-            if parent is not None:
-                low[parent] = min(low[parent], low[x])
-                if parent == root:
-                    branches += 1
-                elif low[x] >= order[parent]:
-                    found.add(parent)
-        elif y not in order:
-            order[y] = low[y] = len(order)
-            stack.append((y, x, iter(near[y])))
-        elif y != parent:
-            low[x] = min(low[x], order[y])
-    if branches > 1:
-        found.add(root)
-    return sorted(found)
-
-
-def articulation_points(r: DataFrame, comp: DataFrame) -> DataFrame:
-    """(investigation_id, x): inherently sequential within a component, so one task call a component of one investigation's graph.
-
-    Nodes with a single neighbour are cut off first (they never are articulation points, their neighbour is one if
-    it has another); the rest is a small core.
-    """
-    near = _neighbours(r)
-    degree = near.groupBy(INV, "x").agg(F.count("*").alias("d"))
-    leaf = degree.where("d = 1").select(INV, "x")
-    holder = near.join(leaf, [INV, "x"], "left_semi").select(INV, F.col("y").alias("x")).distinct().join(degree.where("d >= 2").select(INV, "x"), [INV, "x"], "left_semi")
-    core = near.where("x < y").join(leaf, [INV, "x"], "left_anti").join(leaf.withColumnRenamed("x", "y"), [INV, "y"], "left_anti")
-    core = core.join(comp.select(INV, "x", "component"), [INV, "x"])
+def articulation_points(r: DataFrame, comp: DataFrame, rounds: int = 200) -> DataFrame:
+    """(investigation_id, x): nodes that lie in more than one block (biconnected component) of their investigation's graph.
 
-    def points(group: pd.DataFrame) -> pd.DataFrame:
-        found = _articulation(list(zip(group["x"].tolist(), group["y"].tolist())))
-        return pd.DataFrame({INV: [group[INV].iloc[0]] * len(found), "x": found})
-
-    inner = core.groupBy(INV, "component").applyInPandas(points, f"{INV} long, x long")
-    return inner.union(holder).distinct()
+    A breadth-first tree from each component's smallest node, a round a level, with every node's way up to the root. Any other
+    edge closes a cycle with the two ways up to where they meet, so all tree edges on these are in one block; blocks are the
+    components of tree edges that such cycles connect (an edge goes by its lower node). As many rounds as the tree is deep.
+    """
+    near = g.checkpointed(_neighbours(r))
+    front = g.checkpointed(comp.where("x = component").join(near.select(INV, "x").distinct(), [INV, "x"], "left_semi").select(INV, "x", F.array("x").alias("up")))
+    tree = front
+    for _ in range(rounds):
+        step = front.join(near, [INV, "x"]).select(INV, F.col("y").alias("x"), F.concat(F.array("y"), "up").alias("up")).groupBy(INV, "x").agg(F.min("up").alias("up"))
+        front = g.checkpointed(step.join(tree.select(INV, "x"), [INV, "x"], "left_anti"))
+        if front.isEmpty():
+            break
+        tree = tree.unionByName(front)
+    else:
+        raise RuntimeError(f"the graph is more than {rounds} edges deep")
+    edges = near.where("x < y").join(tree.select(INV, "x", F.col("up").alias("a")), [INV, "x"]).join(tree.select(INV, F.col("x").alias("y"), F.col("up").alias("b")), [INV, "y"])
+    others = edges.where("not (get(a, 1) <=> y) and not (get(b, 1) <=> x)")
+    cycle = others.select(INV, F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("c"))
+    links = cycle.select(INV, F.col("c")[0].alias("s"), F.explode(F.slice("c", F.lit(2), F.size("c"))).alias("t")).distinct()
+    child = g.checkpointed(tree.where("size(up) > 1").select(INV, F.col("x").alias("node_id"), F.col("up")[1].alias("parent")))
+    block = g.components(child.select(INV, "node_id"), links, by=[INV], src="s", dst="t").join(child, [INV, "node_id"])
+    of = block.select(INV, F.explode(F.array("node_id", "parent")).alias("x"), "component").distinct()
+    return of.groupBy(INV, "x").agg(F.count("*").alias("blocks")).where("blocks > 1").select(INV, "x")
 
 
 def b23(r: DataFrame, comp: DataFrame) -> DataFrame:

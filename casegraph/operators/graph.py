@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the folder that the cluster shares; spark.checkpoint.dir names it."""
+    """df in the folder that the cluster shares; spark.checkpoint.dir names it. Only a local master may do without."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
 
 
@@ -99,19 +102,32 @@ def paths(seeds: DataFrame, edges: DataFrame, depth: int, per_seed: int | None =
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(source, target, distance, path) of each pair that a path of at most depth edges joins; of several shortest ones the
-    smallest. A pair of one node has distance 0."""
+    smallest. A pair of one node has distance 0.
+
+    Both ends are searched in turn, for the pairs not yet joined, so that each end goes half the distance only.
+    """
     if not 1 <= depth <= 10:
         raise ValueError("depth goes from 1 to 10")
-    adjacent = symmetric(edges).select("node", "other").where("node <> other").distinct()
+    adjacent = checkpointed(symmetric(edges).select("node", "other").where("node <> other").distinct())
     wanted = pairs.select("source", "target").distinct()
-    front = wanted.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    reached = front
-    for d in range(depth):
-        step = front.join(adjacent, "node").select("source", F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
-        front = step.groupBy("source", "node").agg(F.min("path").alias("path")).join(reached.select("source", "node"), ["source", "node"], "left_anti")
-        front = checkpointed(front) if d < depth - 1 else front
-        reached = reached.union(front)
-    return wanted.join(reached.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", (F.size("path") - 1).alias("distance"), "path")
+    found = wanted.where("source = target").select("source", "target", F.lit(0).alias("distance"), F.array("source").alias("path"))
+    open_ = checkpointed(wanted.where("source <> target"))
+    begin = lambda c, path: open_.select(c).distinct().select(c, F.col(c).alias("node"), path.alias("path"))
+    # The way from a source to a node, and from a node on to a target.
+    side = {"source": begin("source", F.array("source")), "target": begin("target", F.slice(F.array("target"), 1, 0))}
+    reached = dict(side)
+    for d in range(1, depth + 1):
+        c = "source" if d % 2 else "target"
+        longer = F.concat("path", F.array("other")) if d % 2 else F.concat(F.array("node"), "path")
+        front = side[c].join(open_.select(c).distinct(), c, "left_semi").join(adjacent, "node").select(c, F.col("other").alias("node"), longer.alias("path"))
+        front = front.groupBy(c, "node").agg(F.min("path").alias("path")).join(reached[c].select(c, "node"), [c, "node"], "left_anti")
+        side[c] = checkpointed(front)
+        reached[c] = reached[c].union(side[c])
+        met = open_.join(side["source"].withColumnRenamed("path", "before"), "source").join(side["target"], ["target", "node"])
+        met = checkpointed(met.groupBy("source", "target").agg(F.min(F.concat("before", "path")).alias("path")))
+        found = found.union(met.select("source", "target", F.lit(d).alias("distance"), "path"))
+        open_ = checkpointed(open_.join(met, ["source", "target"], "left_anti")) if d < depth else open_
+    return found
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), node: str = "node_id", src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
@@ -151,14 +167,15 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def local_density(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(seed, n_nodes, adjacent_count, density): distinct neighbours within the neighbourhood of a seed over n * (n - 1)."""
+    """(seed, n_nodes, adjacent_count, density): distinct neighbours within the neighbourhood of a seed over n * (n - 1).
+
+    Every node of a neighbourhood is next to another of its nodes, the one that it was reached from or, for the seed, that it
+    reaches. So all n nodes are neighbours, unless the seed is alone; no join with the edges is needed to count them.
+    """
     if not 1 <= depth <= 3:
         raise ValueError("depth goes from 1 to 3")
-    near = checkpointed(component_of_seeds(seeds, edges, depth).select("seed", "node"))
-    pairs = symmetric(edges).select("node", "other").where("node <> other").distinct()
-    inside = near.join(pairs, "node").join(near.withColumnRenamed("node", "other"), ["seed", "other"]).groupBy("seed").agg(F.count_distinct("other").alias("adjacent_count"))
-    sizes = near.groupBy("seed").agg(F.count("*").alias("n_nodes")).join(inside, "seed", "left").withColumn("adjacent_count", F.coalesce("adjacent_count", F.lit(0).cast("long")))
     n = F.col("n_nodes")
+    sizes = component_of_seeds(seeds, edges, depth).groupBy("seed").agg(F.count("*").alias("n_nodes")).withColumn("adjacent_count", F.when(n > 1, n).otherwise(0))
     return sizes.withColumn("density", F.when(n > 1, F.bround(F.col("adjacent_count") / (n * (n - 1)), 4)).otherwise(0.0))
 
 

@@ -79,9 +79,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relationships(spark, sf_dir).groupBy(F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("dst"), F.col("relationship_type").alias("rel_type")).agg(F.max("confidence").alias("confidence"))
 
 
-def person_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of persons with cases, places, phones and vehicles."""
-    return edges(spark, sf_dir).where("rel_type in ('person_in_case', 'uses', 'owns') or (rel_type = 'located_at' and src < 2000000000)")
+def finding_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships of the investigations, and two more for each returned line: the money back, and a contact of the person about it."""
+    lines = order_lines(spark, sf_dir).where("l_returnflag = 'R'")
+    person, organization = _id("person", F.col("o_custkey")), _id("organization", F.col("l_suppkey"))
+    own = F.col("o_custkey").cast("long").alias("investigation_id")
+    back = lines.select(own, (700 * BILLION + F.col("ev")).alias("id"), organization.alias("source_entity_id"), person.alias("target_entity_id"), F.lit("transferred_to").alias("relationship_type"), F.lit(0.7).alias("confidence"), F.col("ev").alias("evidence_id"))
+    contact = lines.select(own, (800 * BILLION + F.col("ev")).alias("id"), person.alias("source_entity_id"), organization.alias("target_entity_id"), F.lit("contacted").alias("relationship_type"), F.lit(0.6).alias("confidence"), F.lit(None).cast("long").alias("evidence_id"))
+    return relationships(spark, sf_dir).where("investigation_id is not null").unionByName(back).unionByName(contact)
 
 
 FIRST = ["Arjun", "Meera", "Kabir", "Vikram", "Rajesh", "Suresh", "Dinesh", "Anita", "Priya", "Rohan"]
@@ -130,6 +135,10 @@ entities AS (
   UNION ALL SELECT NULL, 300000000000 + s_suppkey, 2000000000 + s_suppkey, 3000000000 + s_nationkey, 'located_at', 0.8, NULL FROM supplier
   UNION ALL SELECT c_custkey, 400000000000 + c_custkey, 1000000000 + c_custkey, 6000000000 + c_custkey // 3, 'uses', 0.95, NULL FROM customer
   UNION ALL SELECT c_custkey, 500000000000 + c_custkey, 1000000000 + c_custkey, 7000000000 + c_custkey // 2, 'owns', 0.85, NULL FROM customer
+), finding_relationships AS (
+  SELECT * FROM relationships WHERE investigation_id IS NOT NULL
+  UNION ALL SELECT o_custkey, 700000000000 + ev, 2000000000 + l_suppkey, 1000000000 + o_custkey, 'transferred_to', 0.7, ev FROM lines WHERE l_returnflag = 'R'
+  UNION ALL SELECT o_custkey, 800000000000 + ev, 1000000000 + o_custkey, 2000000000 + l_suppkey, 'contacted', 0.6, NULL FROM lines WHERE l_returnflag = 'R'
 ), nodes AS (
   SELECT id AS node_id, entity_type, value, normalized_value FROM entities
 ), edges AS (

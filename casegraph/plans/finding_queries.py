@@ -13,33 +13,8 @@ from .registry import query
 INV = "investigation_id"
 
 
-def rel(s, d):
-    """Relationships of the investigations."""
-    return m.relationships(s, d).where(f"{INV} is not null")
-
-
-def thin(s, d):
-    """Relationships with a second one between the same two for every fifth, some of them backwards, so that all rules find cases."""
-    r = m.relationships(s, d).where(f"{INV} is not null and relationship_type <> 'transferred_to'")
-    extra = r.where("relationship_type = 'associated_with' and id % 5 = 0")
-    back = F.col("id") % 2 == 0
-    second = extra.select(
-        INV, (F.col("id") + 700 * m.BILLION).alias("id"), F.when(back, F.col("target_entity_id")).otherwise(F.col("source_entity_id")).alias("source_entity_id"),
-        F.when(back, F.col("source_entity_id")).otherwise(F.col("target_entity_id")).alias("target_entity_id"), F.when(F.col("id") % 3 == 0, "linked_to").otherwise(F.col("relationship_type")).alias("relationship_type"), "confidence", "evidence_id",
-    )
-    owner = extra.where("id % 4 = 0").select(INV, (F.col("id") + 800 * m.BILLION).alias("id"), (F.col(INV) + m.OFFSET["person"] * m.BILLION).alias("source_entity_id"), "target_entity_id", F.lit("contacted").alias("relationship_type"), F.lit(0.6).alias("confidence"), F.lit(None).cast("long").alias("evidence_id"))
-    return r.unionByName(second).unionByName(owner)
-
-
-R = """WITH inv AS (SELECT * FROM relationships WHERE investigation_id IS NOT NULL AND relationship_type <> 'transferred_to'
-), extra AS (SELECT * FROM inv WHERE relationship_type = 'associated_with' AND id % 5 = 0
-), thin AS (
-  SELECT * FROM inv
-  UNION ALL SELECT investigation_id, id + 700000000000, CASE WHEN id % 2 = 0 THEN target_entity_id ELSE source_entity_id END, CASE WHEN id % 2 = 0 THEN source_entity_id ELSE target_entity_id END,
-    CASE WHEN id % 3 = 0 THEN 'linked_to' ELSE relationship_type END, confidence, evidence_id FROM extra
-  UNION ALL SELECT investigation_id, id + 800000000000, investigation_id + 1000000000, target_entity_id, 'contacted', 0.6, NULL FROM extra WHERE id % 4 = 0
-), r AS (
-  SELECT investigation_id AS inv, id, source_entity_id AS s, target_entity_id AS t, relationship_type AS kind, confidence::DOUBLE AS c, evidence_id AS e FROM thin
+R = """WITH r AS (
+  SELECT investigation_id AS inv, id, source_entity_id AS s, target_entity_id AS t, relationship_type AS kind, confidence::DOUBLE AS c, evidence_id AS e FROM finding_relationships
 ), ends AS (SELECT *, unnest([s, t]) AS x FROM r
 ), pairs AS (SELECT *, least(s, t) AS a, greatest(s, t) AS b FROM r WHERE s <> t
 ), nb AS (SELECT DISTINCT inv, a AS x, b AS y FROM pairs UNION SELECT inv, b, a FROM pairs
@@ -88,11 +63,15 @@ SIMPLE = {
     18: (b.b18, found(18, up(0.7, 0.05, "k", 0.91), "k >= 4", txt("x"), "ev", "rel", f"FROM {BY_X} WHERE k >= 2")),
     20: (b.b20, found(20, "0.82", None, "a || ',' || b", "ev", "rel", f"FROM (SELECT inv, a, b, count(DISTINCT s) AS ways, {ids('e')} AS ev, {ids('id')} AS rel FROM pairs GROUP BY inv, a, b) WHERE ways = 2")),
     21: (b.b21, found(21, up(0.72, 0.04, "n", 0.92), "n >= 4", "a || ',' || b", "ev", "rel", f"FROM (SELECT inv, a, b, kind, count(*) AS n, {ids('e')} AS ev, {ids('id')} AS rel FROM pairs GROUP BY inv, a, b, kind) WHERE n >= 2")),
-    22: (b.b22, found(22, "0.84", None, "x.x || ',' || x.y || ',' || z.y", source="FROM nb x JOIN nb z ON z.inv = x.inv AND z.x = x.y AND x.x < x.y AND z.x < z.y JOIN nb w ON w.inv = x.inv AND w.x = x.x AND w.y = z.y").replace("SELECT inv AS", "SELECT x.inv AS")),
+    22: (
+        b.b22,
+        found(22, "0.84", None, "x.a || ',' || x.b || ',' || y.b", source="FROM e x JOIN e y ON y.inv = x.inv AND y.a = x.b SEMI JOIN e z ON z.inv = x.inv AND z.a = x.a AND z.b = y.b")
+        .replace("SELECT inv AS", ", e AS MATERIALIZED (SELECT DISTINCT inv, a, b FROM pairs) SELECT x.inv AS"),
+    ),
     24: (
         b.b24,
-        found(24, "0.83", None, "array_to_string(list_sort([a, m, b]), ',')", source="""FROM (
-  SELECT p.inv, p.o AS a, p.m, q.o AS b FROM legs p JOIN legs q ON q.inv = p.inv AND q.m = p.m AND p.o < q.o WHERE len(list_distinct(list_concat(p.kinds, q.kinds))) > 1)""").replace("SELECT inv", ", legs AS (SELECT inv, m, o, list(DISTINCT kind) AS kinds FROM (SELECT inv, a AS m, b AS o, kind FROM pairs UNION ALL SELECT inv, b, a, kind FROM pairs) GROUP BY inv, m, o) SELECT inv", 1),
+        found(24, "0.83", None, "CASE WHEN p.m < p.o THEN p.m || ',' || p.o || ',' || q.o WHEN p.m < q.o THEN p.o || ',' || p.m || ',' || q.o ELSE p.o || ',' || q.o || ',' || p.m END", source="FROM legs p JOIN legs q ON q.inv = p.inv AND q.m = p.m AND p.o < q.o WHERE p.n > 1 OR q.n > 1 OR p.kind <> q.kind")
+        .replace("SELECT inv AS", ", legs AS MATERIALIZED (SELECT inv, m, o, count(DISTINCT kind) AS n, min(kind) AS kind FROM (SELECT inv, a AS m, b AS o, kind FROM pairs UNION ALL SELECT inv, b, a, kind FROM pairs) GROUP BY inv, m, o) SELECT p.inv AS"),
     ),
 }
 
@@ -100,7 +79,7 @@ SIMPLE = {
 def _simple(rule, f, sql):
     @query(f"b{rule:02d}_findings", f"{R} {sql}")
     def _(s, d):
-        return f(b.valid(thin(s, d)))
+        return f(b.valid(m.finding_relationships(s, d)))
 
 
 for _rule, (_f, _sql) in SIMPLE.items():
@@ -109,7 +88,7 @@ for _rule, (_f, _sql) in SIMPLE.items():
 
 @query("b08_findings", BASE + " " + found(8, up(0.7, 0.05, "h", 0.95), "h >= 3", txt("x"), "ev", "rel", "FROM hi WHERE h >= 2"))
 def _(s, d):
-    return b.b8(b.high_counts(b.base_findings(thin(s, d))))
+    return b.b8(b.high_counts(b.base_findings(m.finding_relationships(s, d))))
 
 
 @query(
@@ -120,18 +99,18 @@ def _(s, d):
     + found(9, up(0.7, 0.06, "n", 0.95), "n >= 3", "ent", txt("e"), "rel", "FROM evs"),
 )
 def _(s, d):
-    return b.b9(b.base_findings(thin(s, d)))
+    return b.b9(b.base_findings(m.finding_relationships(s, d)))
 
 
 @query("b10_findings", BASE + " " + found(10, up(0.72, 0.04, "coalesce(k, 0)", 0.92), "coalesce(k, 0) >= 3", txt("x"), source="FROM central LEFT JOIN hi USING (inv, x)"))
 def _(s, d):
-    r = thin(s, d)
+    r = m.finding_relationships(s, d)
     return b.b10(b.central_entities(b.valid(r)), b.high_counts(b.base_findings(r)))
 
 
 @query("b11_findings")
 def _(s, d):
-    return b.b11(b.components(b.valid(thin(s, d))))
+    return b.b11(b.components(b.valid(m.finding_relationships(s, d))))
 
 
 DENS = f"(SELECT n.inv, nodes, edges, 2 * edges / nodes AS d, ent FROM (SELECT inv, count(DISTINCT x) AS nodes, {ids('x')} AS ent FROM ends GROUP BY inv) n JOIN (SELECT inv, count(*) AS edges FROM r GROUP BY inv) e USING (inv))"
@@ -139,7 +118,7 @@ DENS = f"(SELECT n.inv, nodes, edges, 2 * edges / nodes AS d, ent FROM (SELECT i
 
 @query("b12_findings", f"{R} " + found(12, up(0.68, 0.05, "d", 0.92), "d >= 3", "ent", source=f"FROM {DENS} WHERE nodes >= 3 AND edges >= 2 AND d >= 1.5"))
 def _(s, d):
-    return b.b12(b.density(b.valid(thin(s, d))))
+    return b.b12(b.density(b.valid(m.finding_relationships(s, d))))
 
 
 WALK = """, w1 AS (SELECT inv, x AS a, y AS b, [x, y] AS path FROM nb
@@ -153,19 +132,19 @@ WALK = """, w1 AS (SELECT inv, x AS a, y AS b, [x, y] AS path FROM nb
 
 @query("b13_findings", R + WALK + " " + found(13, up(0.6, 0.05, "distance - 1", 0.85), "distance - 1 >= 3", "ent", source="FROM far"))
 def _(s, d):
-    return b.b13(b.indirect_paths(b.valid(thin(s, d))))
+    return b.b13(b.indirect_paths(b.valid(m.finding_relationships(s, d))))
 
 
 @query("b14_findings", BASE + " " + found(14, up(0.76, 0.04, "h", 0.94), "h >= 3", txt("x"), "ev", "rel", "FROM central JOIN hi USING (inv, x) WHERE h >= 2"))
 def _(s, d):
-    r = thin(s, d)
+    r = m.finding_relationships(s, d)
     return b.b14(b.central_entities(b.valid(r)), b.high_counts(b.base_findings(r)))
 
 
 @query("b15_findings")
 def _(s, d):
-    r = b.valid(thin(s, d))
-    return b.b15(b.central_entities(r), b.high_counts(b.base_findings(thin(s, d))), r, b.components(r))
+    r = b.valid(m.finding_relationships(s, d))
+    return b.b15(b.central_entities(r), b.high_counts(b.base_findings(m.finding_relationships(s, d))), r, b.components(r))
 
 
 @query(
@@ -174,7 +153,7 @@ def _(s, d):
     + found(16, up(0.72, 0.04, "d", 0.93), "d >= 5", "ent", source="FROM hub"),
 )
 def _(s, d):
-    r = b.valid(thin(s, d))
+    r = b.valid(m.finding_relationships(s, d))
     return b.b16(b.central_entities(r), r)
 
 
@@ -186,19 +165,19 @@ def _(s, d):
     + found(17, "least(0.92::DOUBLE, 0.68::DOUBLE + 0.04::DOUBLE * distance + 0.04::DOUBLE * h)", "h >= 2", "ent", source="FROM on_path"),
 )
 def _(s, d):
-    r = thin(s, d)
+    r = m.finding_relationships(s, d)
     return b.b17(b.indirect_paths(b.valid(r)), b.base_findings(r))
 
 
 @query("b19_findings")
 def _(s, d):
-    r = b.valid(thin(s, d))
-    return b.b19(b.components(r), b.central_entities(r), b.base_findings(thin(s, d)))
+    r = b.valid(m.finding_relationships(s, d))
+    return b.b19(b.components(r), b.central_entities(r), b.base_findings(m.finding_relationships(s, d)))
 
 
 @query("b23_findings")
 def _(s, d):
-    r = b.valid(thin(s, d))
+    r = b.valid(m.finding_relationships(s, d))
     return b.b23(r, b.components(r))
 
 
@@ -209,24 +188,24 @@ def _(s, d):
     + found(25, "least(0.96::DOUBLE, 0.8::DOUBLE + 0.025::DOUBLE * s + 0.01::DOUBLE * k)", "s >= 4", txt("x"), "ev", "rel", "FROM sig WHERE s >= 3"),
 )
 def _(s, d):
-    r = b.valid(thin(s, d))
-    return b.b25(b.central_entities(r), b.high_counts(b.base_findings(thin(s, d))), r)
+    r = b.valid(m.finding_relationships(s, d))
+    return b.b25(b.central_entities(r), b.high_counts(b.base_findings(m.finding_relationships(s, d))), r)
 
 
 @query("b26_all_findings")
 def _(s, d):
-    return b.all_findings(thin(s, d))
+    return b.all_findings(m.finding_relationships(s, d))
 
 
 @query("b27_investigation_results")
 def _(s, d):
-    r = thin(s, d)
+    r = m.finding_relationships(s, d)
     return b.investigation_results(r, g.checkpointed(b.base_findings(r)))
 
 
 @query("k07_finding_risk")
 def _(s, d):
-    return k.finding_risk(b.base_findings(thin(s, d)))
+    return k.finding_risk(b.base_findings(m.finding_relationships(s, d)))
 
 
 FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{'|'.join(w)}') THEN '{n}'" for n, w in k.FAMILIES.items()) + " ELSE 'other' END"
@@ -234,13 +213,13 @@ FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{'|'.join(w)}')
 
 @query("k09_finding_families", BASE + f" SELECT title, {FAMILY} AS family, severity, CASE severity WHEN 'high' THEN 0.75 ELSE 0.5 END::DOUBLE AS weight, count(*) AS n FROM base GROUP BY ALL")
 def _(s, d):
-    f = b.base_findings(thin(s, d))
+    f = b.base_findings(m.finding_relationships(s, d))
     return f.groupBy("title", k.family(F.col("title")).alias("family"), "severity", k.severity_weight(F.col("severity")).alias("weight")).agg(F.count("*").alias("n"))
 
 
 @query("k10_severity_bands", R + " SELECT inv AS investigation_id, id, CASE WHEN c > 0.9 THEN 'critical' WHEN c >= 0.65 THEN 'high' WHEN c >= 0.35 THEN 'medium' ELSE 'low' END AS severity FROM r")
 def _(s, d):
-    return b.valid(thin(s, d)).select(INV, "id", k.severity_band(F.col("c")).alias("severity"))
+    return b.valid(m.finding_relationships(s, d)).select(INV, "id", k.severity_band(F.col("c")).alias("severity"))
 
 
 @query(
@@ -253,7 +232,7 @@ SELECT inv AS investigation_id, """ + ", ".join(f"round_even(round({c}, 10) * 10
   round_even(round(0.2::DOUBLE * entity + 0.3::DOUBLE * relationship + 0.2::DOUBLE * evidence + 0.3::DOUBLE * finding, 10) * 1000, 0) / 1000 AS overall FROM w""",
 )
 def _(s, d):
-    r = b.valid(thin(s, d)).withColumnRenamed("c", "confidence")
+    r = b.valid(m.finding_relationships(s, d)).withColumnRenamed("c", "confidence")
     entities = b.ends(r).groupBy(INV, "x").agg(F.max("confidence").alias("confidence"))
     evidence = r.where("e is not null").select(INV, F.when(F.col("id") % 7 > 0, F.col("confidence").cast("string")).otherwise("unknown").alias("confidence"))
-    return k.confidence_components(entities, r, evidence, b.base_findings(thin(s, d)))
+    return k.confidence_components(entities, r, evidence, b.base_findings(m.finding_relationships(s, d)))

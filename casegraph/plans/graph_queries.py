@@ -10,13 +10,7 @@ from ..operators import risk as k
 from . import adapters as m
 from .registry import query
 
-PEDGES = """WITH pedges AS (
-  SELECT * FROM edges WHERE rel_type IN ('person_in_case', 'uses', 'owns') OR (rel_type = 'located_at' AND src < 2000000000)
-), psym AS (
-  SELECT src AS node, dst AS other, rel_type FROM pedges UNION ALL SELECT dst, src, rel_type FROM pedges
-), padj AS (
-  SELECT DISTINCT node, other FROM psym WHERE node <> other
-)"""
+PADJ = "WITH padj AS (SELECT DISTINCT node, other FROM sym WHERE node <> other)"
 TYPED = """WITH near AS (
   SELECT s.node, s.other, s.rel_type, s.confidence, n.entity_type AS other_type, n.value AS other_value FROM sym s JOIN nodes n ON n.node_id = s.other
 )"""
@@ -38,7 +32,8 @@ def both(spark, sf_dir):
 
 
 def seeds(spark, sf_dir, kind):
-    return m.nodes(spark, sf_dir).where(F.col("entity_type") == kind).select(F.col("node_id").alias("seed_id"))
+    """The searched nodes: those of a type whose id is divisible by 20. They are searched in the whole graph."""
+    return m.nodes(spark, sf_dir).where((F.col("entity_type") == kind) & (F.col("node_id") % 20 == 0)).select(F.col("node_id").alias("seed_id"))
 
 
 def pairs(spark, sf_dir):
@@ -67,69 +62,73 @@ def _(s, d):
     return g.incident(*both(s, d))
 
 
-HOPS = PEDGES + """, h0 AS (SELECT node_id AS seed, node_id AS node FROM nodes WHERE entity_type = '{kind}'
-), h1 AS (SELECT DISTINCT seed, other AS node FROM h0 JOIN padj USING (node)
-), h2 AS (SELECT DISTINCT seed, other AS node FROM h1 JOIN padj USING (node)
-), hops AS (
-  SELECT seed, node, min(distance)::BIGINT AS distance FROM (SELECT *, 0 AS distance FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY seed, node
-)"""
+def hops(kind, depth):
+    steps = [f"h0 AS (SELECT node_id AS seed, node_id AS node FROM nodes WHERE entity_type = '{kind}' AND node_id % 20 = 0)"]
+    steps += [f"h{i} AS MATERIALIZED (SELECT DISTINCT seed, other AS node FROM h{i - 1} JOIN padj USING (node))" for i in range(1, depth + 1)]
+    every = " UNION ALL ".join(f"SELECT *, {i} AS distance FROM h{i}" for i in range(depth + 1))
+    return PADJ + ", " + ", ".join(steps) + f", hops AS (SELECT seed, node, min(distance)::BIGINT AS distance FROM ({every}) GROUP BY seed, node)"
 
 
-@query("g04_k_hop", HOPS.format(kind="person") + " SELECT * FROM hops WHERE distance > 0")
+@query("g04_k_hop", hops("person", 3) + " SELECT * FROM hops WHERE distance > 0")
 def _(s, d):
-    return g.k_hop(seeds(s, d, "person"), m.person_edges(s, d), 2)
+    return g.k_hop(seeds(s, d, "person"), m.edges(s, d), 3)
 
 
 @query(
     "g05_paths",
-    PEDGES + """, step AS (SELECT DISTINCT node, other, rel_type FROM psym), p1 AS (
-  SELECT v.node_id AS seed, other AS node, [v.node_id, other] AS path, [rel_type] AS types FROM nodes v JOIN step ON step.node = v.node_id WHERE v.entity_type = 'vehicle' AND v.node_id <> other
+    PADJ + """, step AS (SELECT DISTINCT node, other, rel_type FROM sym), p1 AS (
+  SELECT v.node_id AS seed, other AS node, [v.node_id, other] AS path, [rel_type] AS types FROM nodes v JOIN step ON step.node = v.node_id WHERE v.entity_type = 'vehicle' AND v.node_id % 20 = 0 AND v.node_id <> other
 ), p2 AS (
   SELECT seed, step.other AS node, list_append(path, step.other) AS path, list_append(types, rel_type) AS types FROM p1 JOIN step USING (node) WHERE NOT list_contains(path, step.other)
 ) SELECT seed, node, array_to_string(path, ',') AS path, array_to_string(types, ',') AS types FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)""",
 )
 def _(s, d):
-    return g.paths(seeds(s, d, "vehicle"), m.person_edges(s, d), 2)
+    return g.paths(seeds(s, d, "vehicle"), m.edges(s, d), 2)
 
 
-SHORT = PEDGES + """, pairs AS (SELECT 1000000000 + c_custkey AS source, 1000000000 + c_custkey + 1 AS target FROM customer
-), s1 AS (SELECT source, target, other AS node, [source, other] AS path FROM pairs JOIN padj ON padj.node = source
-), s2 AS (SELECT source, target, padj.other AS node, list_append(path, padj.other) AS path FROM s1 JOIN padj USING (node)
-), short AS (
-  SELECT source, target, arg_min(path, (len(path), path)) AS path FROM (SELECT * FROM s1 WHERE node = target UNION ALL SELECT * FROM s2 WHERE node = target) GROUP BY source, target
-)"""
+SHORT = PADJ + """, pairs AS (SELECT 1000000000 + c_custkey AS source, 1000000000 + c_custkey + 1 AS target FROM customer
+), near AS MATERIALIZED (
+  SELECT source, target, arg_min(path, (len(path), path)) AS path FROM (
+    SELECT source, target, [source, target] AS path FROM pairs SEMI JOIN padj ON padj.node = source AND padj.other = target
+    UNION ALL SELECT source, target, [source, x.other, target] FROM pairs JOIN padj x ON x.node = source JOIN padj y ON y.node = target AND y.other = x.other) GROUP BY source, target
+), open AS MATERIALIZED (SELECT * FROM pairs ANTI JOIN near USING (source, target)
+), s2 AS MATERIALIZED (SELECT source, target, y.other AS node, min([source, x.other, y.other]) AS path FROM open JOIN padj x ON x.node = source JOIN padj y ON y.node = x.other GROUP BY ALL
+), t2 AS MATERIALIZED (SELECT source, target, y.other AS node, min([x.other, target]) AS path FROM open JOIN padj x ON x.node = target JOIN padj y ON y.node = x.other GROUP BY ALL
+), far AS (
+  SELECT source, target, arg_min(path, (len(path), path)) AS path FROM (
+    SELECT source, target, list_append(path, target) AS path FROM s2 JOIN padj ON padj.node = s2.node AND padj.other = target
+    UNION ALL SELECT source, target, list_concat(s2.path, t2.path) FROM s2 JOIN t2 USING (source, target, node)) GROUP BY source, target
+), short AS (SELECT * FROM near UNION ALL SELECT * FROM far)"""
 
 
 @query("g06_shortest_paths", SHORT + " SELECT source, target, (len(path) - 1)::BIGINT AS distance, array_to_string(path, ',') AS path FROM short")
 def _(s, d):
-    return g.shortest_paths(pairs(s, d), m.person_edges(s, d), 2)
+    return g.shortest_paths(pairs(s, d), m.edges(s, d), 4)
 
 
-@query("g07_component_of_seeds", HOPS.format(kind="phone") + " SELECT * FROM hops")
+@query("g07_component_of_seeds", hops("phone", 4) + " SELECT * FROM hops")
 def _(s, d):
-    return g.component_of_seeds(seeds(s, d, "phone"), m.person_edges(s, d), 2)
+    return g.component_of_seeds(seeds(s, d, "phone"), m.edges(s, d), 4)
 
 
-@query(
-    "g08_components",
-    """WITH link AS (SELECT DISTINCT node, other FROM sym WHERE rel_type IN ('uses', 'owns')
-), reach AS (SELECT node_id AS node, node_id AS other FROM nodes UNION SELECT reach.node, link.other FROM reach JOIN link ON link.node = reach.other
-) SELECT node AS node_id, min(other) AS component FROM reach GROUP BY node""",
-)
+#: Smallest labels travel one edge a round; the graph's components are at most 12 edges wide.
+ROUNDS = ", ".join(f"l{i + 1} AS MATERIALIZED (SELECT node, min(c) AS c FROM (SELECT * FROM l{i} UNION ALL SELECT adj.node, c FROM l{i} JOIN adj ON adj.other = l{i}.node) GROUP BY node)" for i in range(12))
+
+
+@query("g08_components", f"WITH l0 AS (SELECT node_id AS node, node_id AS c FROM nodes), {ROUNDS} SELECT node AS node_id, c AS component FROM l12")
 def _(s, d):
-    nodes, edges = both(s, d)
-    return g.components(nodes, edges.where("rel_type in ('uses', 'owns')"))
+    return g.components(*both(s, d))
 
 
 @query(
     "g09_subgraph",
-    HOPS.format(kind="vehicle") + " SELECT DISTINCT seed, src, dst, rel_type FROM hops JOIN pedges ON node = src OR node = dst WHERE distance < 2",
+    hops("vehicle", 2) + " SELECT DISTINCT seed, src, dst, rel_type FROM hops JOIN edges ON node = src OR node = dst WHERE distance < 2",
 )
 def _(s, d):
-    return g.subgraph(seeds(s, d, "vehicle"), m.person_edges(s, d), 2)
+    return g.subgraph(seeds(s, d, "vehicle"), m.edges(s, d), 2)
 
 
-DENSITY = HOPS.format(kind="phone") + """, inside AS (
+DENSITY = hops("phone", 2) + """, inside AS (
   SELECT a.seed, count(DISTINCT b.node) AS adjacent_count FROM hops a JOIN padj ON padj.node = a.node JOIN hops b ON b.seed = a.seed AND b.node = padj.other GROUP BY a.seed
 ), sizes AS (SELECT seed, count(*) AS n_nodes FROM hops GROUP BY seed)"""
 
@@ -139,7 +138,7 @@ DENSITY = HOPS.format(kind="phone") + """, inside AS (
     DENSITY + " SELECT seed, n_nodes, coalesce(adjacent_count, 0) AS adjacent_count, CASE WHEN n_nodes > 1 THEN round_even(coalesce(adjacent_count, 0) / (n_nodes * (n_nodes - 1)), 4) ELSE 0 END::DOUBLE AS density FROM sizes LEFT JOIN inside USING (seed)",
 )
 def _(s, d):
-    return g.local_density(seeds(s, d, "phone"), m.person_edges(s, d), 2)
+    return g.local_density(seeds(s, d, "phone"), m.edges(s, d), 2)
 
 
 @query("g11_bridges", TYPED + " SELECT node AS node_id, count(DISTINCT other) AS neighbours, count(DISTINCT other_type) AS neighbour_types FROM near GROUP BY node")
@@ -254,7 +253,7 @@ SELECT seed, coalesce(neighbour_count, 0) AS neighbour_count, coalesce(type_coun
 FROM sizes LEFT JOIN inside USING (seed) LEFT JOIN summary USING (seed)""",
 )
 def _(s, d):
-    return a.neighbourhood_summary(seeds(s, d, "phone"), m.nodes(s, d), m.person_edges(s, d), 2)
+    return a.neighbourhood_summary(seeds(s, d, "phone"), m.nodes(s, d), m.edges(s, d), 2)
 
 
 @query("a05_structural_outliers", DEGREES + " SELECT * FROM ndeg ORDER BY degree DESC, value, node_id LIMIT 20")
@@ -264,35 +263,34 @@ def _(s, d):
 
 @query("a06_path_analysis", SHORT + " SELECT source, target, (len(path) - 1)::BIGINT AS distance, array_to_string(path, ',') AS path, path IS NOT NULL AS connected FROM pairs LEFT JOIN short USING (source, target)")
 def _(s, d):
-    return a.path_analysis(pairs(s, d), m.person_edges(s, d), 2)
+    return a.path_analysis(pairs(s, d), m.edges(s, d), 4)
 
 
-KEYS = PEDGES + """, keys AS (
-  SELECT DISTINCT p.node, n.entity_type || ':' || lower(trim(n.value)) AS key FROM psym p JOIN nodes n ON n.node_id = p.other JOIN nodes o ON o.node_id = p.node AND o.entity_type = 'person' WHERE rel_type <> 'located_at'
+KEYS = PADJ + """, keys AS (
+  SELECT DISTINCT p.node, n.entity_type || ':' || lower(trim(n.value)) AS key FROM sym p JOIN nodes n ON n.node_id = p.other JOIN nodes o ON o.node_id = p.node AND o.entity_type = 'person'
 ), sized AS (SELECT node, key, count(*) OVER (PARTITION BY node) AS n FROM keys
 ), shared AS (SELECT x.node AS a, y.node AS b, count(*) AS shared, any_value(x.n) AS na, any_value(y.n) AS nb FROM sized x JOIN sized y ON x.key = y.key AND x.node < y.node GROUP BY ALL
-), jac AS (SELECT a, b, shared, round_even(shared / (na + nb - shared), 4)::DOUBLE AS score FROM shared
+), jac AS (SELECT * FROM (SELECT a, b, shared, round_even(shared / (na + nb - shared), 4)::DOUBLE AS score FROM shared) WHERE score >= 0.2
 )"""
 
 
 def keys(s, d):
     nodes = m.nodes(s, d)
-    own = m.person_edges(s, d).where("rel_type <> 'located_at'")
-    return a.neighbour_keys(nodes, own).join(nodes.where("entity_type = 'person'").select(F.col("node_id").alias("node")), "node", "left_semi")
+    return a.neighbour_keys(nodes, m.edges(s, d)).join(nodes.where("entity_type = 'person'").select(F.col("node_id").alias("node")), "node", "left_semi")
 
 
 @query("a07_jaccard", KEYS + " SELECT * FROM jac")
 def _(s, d):
-    return a.jaccard(keys(s, d))
+    return a.jaccard(keys(s, d), threshold=0.2)
 
 
 @query(
     "a08_similar_entities",
-    KEYS + """, two AS (SELECT a AS entity, b AS similar_id, shared, score FROM jac WHERE score >= 0.1 UNION ALL SELECT b, a, shared, score FROM jac WHERE score >= 0.1)
+    KEYS + """, two AS (SELECT a AS entity, b AS similar_id, shared, score FROM jac UNION ALL SELECT b, a, shared, score FROM jac)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, similar_id) AS rank FROM two) WHERE rank <= 10""",
 )
 def _(s, d):
-    return a.similar_entities(keys(s, d), threshold=0.1)
+    return a.similar_entities(keys(s, d))
 
 
 @query("a09_shared_neighbours", KEYS + " SELECT x.node AS a, y.node AS b, string_agg(x.key, ',' ORDER BY x.key) AS shared_keys FROM keys x JOIN keys y ON x.key = y.key AND y.node = x.node + 1 GROUP BY ALL")
@@ -306,7 +304,7 @@ def _(s, d):
 CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Moderate' WHEN score >= 0.25 THEN 'Limited' ELSE 'Low' END || ' similarity: ' || shared || ' shared neighbours.' AS explanation FROM jac""",
 )
 def _(s, d):
-    return a.jaccard(keys(s, d)).select("a", "b", a.similarity_level(F.col("score")).alias("level"), a.similarity_text(F.col("score"), F.col("shared")).alias("explanation"))
+    return a.jaccard(keys(s, d), threshold=0.2).select("a", "b", a.similarity_level(F.col("score")).alias("level"), a.similarity_text(F.col("score"), F.col("shared")).alias("explanation"))
 
 
 def _pattern(kind, title, confidence, rows):
@@ -337,9 +335,9 @@ def _(s, d):
     return a.bridge_pattern(*both(s, d))
 
 
-@query("a15_short_paths", SHORT + " SELECT 'short_path' AS pattern_type, 0.95::DOUBLE AS confidence, source, target, (len(path) - 1)::BIGINT AS distance FROM short")
+@query("a15_short_paths", SHORT + " SELECT 'short_path' AS pattern_type, 0.95::DOUBLE AS confidence, source, target, (len(path) - 1)::BIGINT AS distance FROM near")
 def _(s, d):
-    return a.short_path_pattern(pairs(s, d), m.person_edges(s, d))
+    return a.short_path_pattern(pairs(s, d), m.edges(s, d))
 
 
 PERSONS = (
@@ -421,12 +419,12 @@ def _(s, d):
     return a.case_analysis(*both(s, d))
 
 
-#: The signals over the graph of persons with cases, places, phones and vehicles.
-SIGNALS = PEDGES + """, pdeg AS (
-  SELECT node_id, count(other) AS total_degree FROM nodes LEFT JOIN psym ON psym.node = node_id GROUP BY node_id
+#: The signals over the whole graph, but for density: every node's nodes two steps away are too many for the SQL, and tested on a small graph.
+SIGNALS = PADJ + """, pdeg AS (
+  SELECT node_id, count(other) AS total_degree FROM nodes LEFT JOIN sym ON sym.node = node_id GROUP BY node_id
 ), pn AS (SELECT node AS node_id, count(*) AS degree FROM padj GROUP BY node
-), pdiv AS (SELECT node AS node_id, count(DISTINCT rel_type) AS types FROM psym GROUP BY node
-), people AS (SELECT node AS node_id, count(DISTINCT other) AS p FROM psym JOIN nodes n ON n.node_id = other AND n.entity_type = 'person' GROUP BY node
+), pdiv AS (SELECT node AS node_id, count(DISTINCT rel_type) AS types FROM sym GROUP BY node
+), people AS (SELECT node AS node_id, count(DISTINCT other) AS p FROM sym JOIN nodes n ON n.node_id = other AND n.entity_type = 'person' GROUP BY node
 ), pats AS (SELECT node_id, count(*) AS n FROM (
     SELECT node_id FROM pn WHERE degree >= 5 UNION ALL SELECT node_id FROM pdeg JOIN nodes USING (node_id) WHERE entity_type = 'person' AND total_degree >= 5
     UNION ALL SELECT node_id FROM pdiv JOIN nodes USING (node_id) WHERE entity_type = 'person' AND types >= 3) GROUP BY node_id
@@ -442,7 +440,7 @@ SIGNALS = PEDGES + """, pdeg AS (
 
 
 def signals(s, d):
-    return k.entity_signals(m.nodes(s, d), m.person_edges(s, d))
+    return k.entity_signals(m.nodes(s, d), m.edges(s, d))
 
 
 LEVEL = "CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.25 THEN 'low' ELSE 'minimal' END AS level"
@@ -455,7 +453,7 @@ def _(s, d):
 
 @query("k02_pattern_counts", SIGNALS + " SELECT node_id, n FROM pats")
 def _(s, d):
-    return k.pattern_counts(m.nodes(s, d), m.person_edges(s, d))
+    return k.pattern_counts(m.nodes(s, d), m.edges(s, d))
 
 
 @query(
