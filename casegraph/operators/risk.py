@@ -57,7 +57,7 @@ def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("entity_id", "pattern_type", "title").distinct().groupBy(F.col("entity_id").alias("node_id")).agg(F.count("*").alias("n"))
 
 
-def entity_signals(nodes: DataFrame, edges: DataFrame, density_depth: int = 2) -> DataFrame:
+def entity_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The six signal values of every node: node_id, entity_type and a column for each of WEIGHTS."""
     connect = a.connection_score(nodes, edges).select("node_id", F.col("score").alias("connectivity"))
     diverse = a.relationship_diversity(nodes, edges).select("node_id", clamp(F.col("type_count") / 6).alias("diversity"))
@@ -67,17 +67,29 @@ def entity_signals(nodes: DataFrame, edges: DataFrame, density_depth: int = 2) -
     person = nodes.where("lower(entity_type) = 'person'").select("node_id")
     aides = aides.join(person, "node_id", "left_semi").select("node_id", clamp(F.col("n") * 0.5).alias("accomplice"))
     patterns = pattern_counts(nodes, edges).select("node_id", clamp(F.col("n") / 4).alias("patterns"))
-    density = neighbourhood_density(nodes, edges, density_depth).select("node_id", clamp(F.col("density")).alias("density"))
+    density = neighbourhood_density(nodes, edges).select("node_id", clamp(F.col("density")).alias("density"))
     out = nodes.select("node_id", "entity_type")
     for part in (connect, diverse, shared, aides, patterns, density):
         out = out.join(part, "node_id", "left")
     return out.na.fill(0.0, list(WEIGHTS))
 
 
-def neighbourhood_density(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(node_id, density) of every node's neighbourhood, as local_density: all its n members neighbour another one, so the numerator is n."""
-    near = g.k_hop(nodes.select(F.col("node_id").alias("seed_id")), edges, depth).groupBy(F.col("seed").alias("node_id")).agg(F.count("*").alias("others"))
-    return near.select("node_id", F.bround(1 / F.col("others"), 4).alias("density"))
+def neighbourhood_density(nodes: DataFrame, edges: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(node_id, density) of every node's neighbourhood of depth 2, as local_density: all its n members neighbour another one, so the numerator is n.
+
+    A node's neighbours' lists meet at the node and are counted without repeats. Ids are dealt into parts by hash, so that no list that
+    meets in one place is much longer than `most`; parts share no id, so their counts add up. The lists hold the sum of the
+    neighbours' degrees, square in the degree of a hub's neighbours.
+    """
+    near = g.checkpointed(g.symmetric(edges).select("node", "other").where("node <> other").distinct())
+    degree = near.groupBy(F.col("node").alias("other")).agg(F.count("*").alias("d"))
+    largest = near.join(degree, "other").groupBy("node").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0
+    near = near.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(largest // most + 1)).cast("int"))
+    lists = near.groupBy(F.col("node").alias("other"), "part").agg(F.collect_list("other").alias("ids"))
+    met = near.select("node", "part", F.array("other").alias("ids")).union(near.select("node", "other").join(lists, "other").select("node", "part", "ids"))
+    ids = F.array_remove(F.array_distinct(F.flatten(F.collect_list("ids"))), F.col("node"))
+    others = met.groupBy("node", "part").agg(F.size(ids).alias("n")).groupBy(F.col("node").alias("node_id")).agg(F.sum("n").alias("others"))
+    return nodes.select("node_id").join(others, "node_id").select("node_id", F.bround(1 / F.col("others"), 4).alias("density"))
 
 
 def level(score: Column) -> Column:

@@ -14,6 +14,7 @@ from ..operators import search as se
 from ..operators import text as t
 from ..sources import readers, records
 from . import adapters as m
+from . import graph_queries
 from .registry import query
 
 INV = "investigation_id"
@@ -271,12 +272,15 @@ def _(s, d):
     "t10_compact_entities",
     r"""WITH found AS (
   SELECT doc_id, 'EMAIL' AS entity_type, 0.99 AS confidence, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS value FROM documents
-  UNION ALL SELECT doc_id, 'DATE', 0.95, unnest(regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b') || regexp_extract_all(text, '\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b')) FROM documents
+  UNION ALL SELECT doc_id, 'DATE', 0.95, unnest(regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b') || regexp_extract_all(text, '\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b') || regexp_extract_all(text, '(?i)\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}\b')) FROM documents
+  UNION ALL SELECT doc_id, 'PHONE', 0.98, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9+])', '\1\1', 'g'), '(?:^|[^0-9])((?:\+91[\s-]{0,2})?[6-9][0-9]{9})(?:$|[^0-9])', 1)), '[\s-]', '', 'g') FROM documents
+  UNION ALL SELECT doc_id, 'ACCOUNT', 0.85, unnest(regexp_extract_all(text, '(?i)\b(?:account|acct)[\s#:.-]*[A-Za-z0-9_-]{4,30}\b') || regexp_extract_all(text, '(?i)\b(?:upi|wallet)[\s#:.-]*[A-Za-z0-9._@-]{4,50}\b')) FROM documents
+  UNION ALL SELECT doc_id, 'VEHICLE', 0.92, unnest(regexp_extract_all(text, '(?i)\b[A-Z]{2}[-\s]?\d{1,2}[-\s]?[A-Z]{1,3}[-\s]?\d{1,4}\b')) FROM documents
 ) SELECT doc_id, entity_type, min(value) AS value, max(confidence)::DOUBLE AS confidence FROM found GROUP BY doc_id, entity_type, lower(value)""",
     model=False,
 )
 def _(s, d):
-    return t.compact_entities(m.read(s, d, "documents")).where("entity_type in ('EMAIL', 'DATE')")
+    return t.compact_entities(m.read(s, d, "documents"))
 
 
 @query("t11_relations")
@@ -285,9 +289,15 @@ def _(s, d):
     return t.relations(docs, t.mentions(docs))
 
 
-@query("t13_record_relations")
+@query(
+    "t13_record_relations",
+    """SELECT ev AS doc_id, 'CASE_RELATED_FIR' AS relation_type, 'CASE-' || l_orderkey AS source_value, 'FIR-' || o_custkey AS target_value, 0.9::DOUBLE AS confidence FROM lines
+UNION ALL SELECT ev, 'EVIDENCE_RELATED_CASE', 'EV-' || ev, 'CASE-' || l_orderkey, 0.85 FROM lines""",
+)
 def _(s, d):
-    return t.record_relations(t.mentions(m.case_texts(s, d)))
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    records = m.order_lines(s, d).select(F.col("ev").alias("doc_id"), name("CASE-", "l_orderkey").alias("case_number"), name("FIR-", "o_custkey").alias("fir_number"), name("EV-", "ev").alias("evidence_id"))
+    return t.record_relations(t.record_mentions(records, "doc_id"))
 
 
 @query("t15_document_confidence")
@@ -454,9 +464,9 @@ def links(s, d):
     return evidence(s, d).select(INV, "evidence_id")
 
 
-@query("j01_evidence_in_scope", EVIDENCE + " SELECT investigation_id, evidence_id, case_id FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY evidence_id DESC) AS n FROM ev) WHERE n <= 20")
+@query("j01_evidence_in_scope", EVIDENCE + " SELECT investigation_id, evidence_id, case_id FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY evidence_id DESC) AS n FROM ev) WHERE n <= 500")
 def _(s, d):
-    return r.evidence_in_scope(links(s, d), evidence(s, d).drop(INV), 20).select(INV, "evidence_id", "case_id")
+    return r.evidence_in_scope(links(s, d), evidence(s, d).drop(INV)).select(INV, "evidence_id", "case_id")
 
 
 @query(
@@ -766,7 +776,11 @@ def _(s, d):
     return _pack(s, d).select(INV, k.coverage_band(F.col("evidence_count"), F.col("memory_count"), F.col("graph_count")).alias("band"))
 
 
-@query("k13_risk_rollup")
+@query(
+    "k13_risk_rollup",
+    graph_queries.SIGNALS + """, own AS (SELECT DISTINCT investigation_id, unnest([source_entity_id, target_entity_id]) AS entity_id FROM relationships WHERE investigation_id IS NOT NULL)
+SELECT investigation_id, count(*) AS entities, coalesce(max(score), 0) AS max_score, round_even(round(avg(coalesce(score, 0)), 10) * 10000, 0) / 10000 AS mean_score FROM own LEFT JOIN risk ON node_id = entity_id GROUP BY investigation_id""",
+)
 def _(s, d):
     own = b.ends(b.valid(m.relationships(s, d))).where(f"{INV} is not null").select(INV, F.col("x").alias("entity_id"))
-    return k.risk_rollup(own, k.case_risk(m.nodes(s, d), m.edges(s, d)).withColumnRenamed("case_id", "node_id"))
+    return k.risk_rollup(own, k.entity_risk(graph_queries.signals(s, d)))

@@ -34,7 +34,8 @@ def rows_of(names, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def same(spark, sf_dir: str, query, sql: str) -> None:
+def same(spark, sf_dir: str, query, sql: str) -> int:
+    """The number of rows, which are the same."""
     df = query(spark, sf_dir)
     ours = rows_of(df.columns, df.collect())
     cur = duck(sf_dir).execute(sql)
@@ -43,3 +44,4 @@ def same(spark, sf_dir: str, query, sql: str) -> None:
     assert sorted(df.columns) == sorted(names)
     assert len(ours) == len(theirs)
     assert ours == theirs, next((a, b) for a, b in zip(ours, theirs) if a != b)
+    return len(ours)
