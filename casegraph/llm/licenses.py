@@ -260,8 +260,10 @@ def _verbatim(rows: DataFrame, templates: DataFrame) -> DataFrame | None:
 def _contained(rows: DataFrame, templates: DataFrame, containment: float) -> DataFrame:
     """Templates with shingles: (doc_id, row_key, text_key, license, containment, word, last, n)."""
     keyed = rows.select("doc_id", "text", *_row_keys())
-    known = templates.select(F.explode(_hashes(F.col("template"))).alias("h")).distinct()
-    sizes = sorted(r["size"] for r in template_windows(templates).select("size").distinct().collect()) or [WINDOW]  # 1 to WINDOW
+    # Written tables have a known size, so Spark broadcasts them where they are small (all of SPDX is some 7 MB of hashes).
+    known = written(templates.select(F.explode(_hashes(F.col("template"))).alias("h")).distinct())
+    bands = written(template_windows(templates))
+    sizes = sorted(r["size"] for r in bands.select("size").distinct().collect()) or [WINDOW]  # 1 to WINDOW
     # A window's MinHash values are hashes of its shingles: only windows with a shingle of a template can share a value with one.
     places = keyed.select("row_key", "text_key", F.posexplode(_hashes(F.col("text"))).alias("place", "h")).join(known, "h")
     places = written(places.groupBy("row_key", "text_key").agg(F.collect_set("place").alias("places")))
@@ -274,9 +276,9 @@ def _contained(rows: DataFrame, templates: DataFrame, containment: float) -> Dat
     cut = F.transform(F.filter("starts", lambda w: w["start"] + w["size"] <= F.size("h")), lambda w: F.struct(w["size"].alias("size"), w["start"].alias("start"), F.slice("h", w["start"] + 1, w["size"]).alias("window")))
     windows = keyed.join(places, ["row_key", "text_key"]).select("row_key", "text_key", _hashes(F.col("text")).alias("h"), starts.alias("starts")).select("row_key", "text_key", F.explode(cut).alias("w"))
     signed = windows.select("row_key", "text_key", "w.size", "w.start", F.explode(_bands(F.col("w.window"))).alias("band")).distinct()
-    met = signed.join(template_windows(templates), ["size", "band"]).select("row_key", "text_key", "license", (F.col("start") - F.col("offset")).alias("begin")).distinct()
-    sized = templates.select("license", F.size(_hashes(F.col("template"))).alias("n"))
-    candidates = written(met.join(sized, "license").groupBy("row_key", "text_key").agg(F.collect_list(F.struct("license", "n", "begin")).alias("c")))
+    met = signed.join(bands, ["size", "band"]).select("row_key", "text_key", "license", (F.col("start") - F.col("offset")).alias("begin")).distinct()
+    whole = written(templates.select("license", F.size(_hashes(F.col("template"))).alias("n"), F.array_distinct(_strings(F.col("template"))).alias("shingles")))
+    candidates = written(met.join(whole.select("license", "n"), "license").groupBy("row_key", "text_key").agg(F.collect_list(F.struct("license", "n", "begin")).alias("c")))
 
     def region(c: Column) -> Column:
         """Where the whole template would lie, and a quarter of it on both sides."""
@@ -285,10 +287,9 @@ def _contained(rows: DataFrame, templates: DataFrame, containment: float) -> Dat
         return F.struct(c["license"].alias("license"), c["n"].alias("n"), first.alias("first"), F.slice("all", first + 1, c["n"] + 2 * margin).alias("region"))
 
     regions = keyed.join(candidates, ["row_key", "text_key"]).select("doc_id", "row_key", "text_key", "c", _strings(F.col("text")).alias("all")).select("doc_id", "row_key", "text_key", F.explode(F.transform("c", region)).alias("r")).select("doc_id", "row_key", "text_key", "r.*")
-    whole = templates.select("license", F.array_distinct(_strings(F.col("template"))).alias("shingles"))
     at = F.filter(F.sequence(F.lit(0), F.size("region") - 1), lambda i: F.array_contains("shingles", F.get("region", i)))
     verified = (
-        regions.join(whole, "license")
+        regions.join(whole.select("license", "shingles"), "license")
         .withColumn("containment", F.size(F.array_intersect("region", "shingles")) / F.size("shingles"))
         .where(F.col("containment") >= containment)
         .select("doc_id", "row_key", "text_key", "license", "containment", "n", "first", at.alias("at"))
