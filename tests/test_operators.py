@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import oracle
 import pytest
@@ -15,7 +16,7 @@ from casegraph.operators import graph as g
 from casegraph.operators import resolve as r
 from casegraph.operators import risk as k
 from casegraph.operators import text as t
-from casegraph.plans import ORACLE_SQL, QUERIES
+from casegraph.plans import ORACLE_SQL, QUERIES, adapters
 from casegraph.sources import readers, records
 from casegraph.streaming import ingest
 
@@ -274,3 +275,70 @@ def test_streamed_calls(spark, tmp_path):
         q = ingest.merge_edges_stream(ingest.read_records(spark, str(tmp_path / "in"), schema), "cdr", str(tmp_path / "edges"), str(tmp_path / "check"))
         q.awaitTermination(120)
     assert {x.dst for x in spark.read.parquet(str(tmp_path / "edges/v1")).collect()} == {"20", "21"}
+
+
+def plain_relations(text, found):
+    """(relation, source, target) -> confidence of one text; found: (start, type, value, normalised value), sorted."""
+    out = {}
+
+    def add(relation, s, x, confidence):
+        key = (relation, s[3], x[3])
+        out[key] = max(confidence, out.get(key, 0))
+
+    def ruled(s, x, context):
+        return next(((relation, c) for a, z, family, relation, c in t.PAIR_RULES if (a, z) == (s[1], x[1]) and (family is None or any(w in context for w in t.CUES[family]))), None)
+
+    for s in found:
+        for x in found:
+            if s is not x and (hit := ruled(s, x, text[max(0, min(s[0], x[0]) - 120) : max(s[0], x[0]) + 120].lower())):
+                add(hit[0], s, x, hit[1])
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        low = sentence.lower()
+        inside = [(*f, low.index(f[2].lower())) for f in found if f[2].lower() in low]
+        family = next((name for name in ("knows", "accomplice", "works_for", "transferred_to", "contacted", "association") if any(w in low for w in t.CUES[name])), None)
+        if len(inside) < 2:
+            continue
+        if family in ("transferred_to", "association"):
+            words = r"\b(?:transferred\s+funds?\s+to|transferred\s+to|transfer\s+to|sent\s+funds?\s+to)\b" if family == "transferred_to" else "|".join(sorted(t.CUES["association"], key=len, reverse=True))
+            cue = re.search(words, low)
+            left = [f for f in inside if cue and f[4] < cue.start()]
+            right = [f for f in inside if cue and f[4] >= cue.end()]
+            if left and right:
+                s, x = max(left, key=lambda f: (f[4], f[:4])), min(right, key=lambda f: (f[4], f[:4]))
+                if family == "association":
+                    add("ASSOCIATED_WITH", s, x, 0.78)
+                elif s[1] in ("PERSON", "ORGANIZATION", "COMPANY") and x[1] in ("PERSON", "ORGANIZATION", "COMPANY", "BANK", "ACCOUNT", "TRANSACTION"):
+                    add("TRANSFERRED_TO", s, x, 0.9)
+            continue
+        for i, s in enumerate(inside):
+            for x in inside[i + 1 :]:
+                persons = s[1] == x[1] == "PERSON"
+                if family == "knows" and persons:
+                    add("KNOWS", s, x, 0.9)
+                elif family == "accomplice" and persons:
+                    add("ACCOMPLICE_OF", s, x, 0.92)
+                elif family == "works_for" and s[1] == "PERSON" and x[1] in ("ORGANIZATION", "COMPANY"):
+                    add("WORKS_FOR", s, x, 0.9)
+                elif family == "contacted":
+                    add("KNOWS" if persons else "CONTACTED", s, x, 0.82)
+                elif family is None:
+                    add(*(hit[0], s, x, hit[1]) if (hit := ruled(s, x, low)) else ("MENTIONED_WITH", s, x, 0.45))
+    return out
+
+
+def test_relations_brute_force(spark):
+    odd = [
+        "Arjun Rao is linked to Meera Khan and is associated with Apex Logistics Pvt Ltd! HDFC Bank sent funds to Vertex Trading Pvt Ltd", "Kabir Das conspired with Anita Nair. Exhibit EV-17 was seized from Kabir Das under FIR-9/2024 in CASE-7.",
+        "linked to Meera Khan, Arjun Rao", "Priya Iyer, Rohan Gupta and DL 01 AB 1234 owned by Priya Iyer near IMEI-99 ... called +91 98765 43210?", "", "   ", "no names here.", None, "Arjun Rao " * 300 + "knows Meera Khan",
+        "Transferred to Arjun Rao. Arjun Rao transferred to.", "Suresh Raina phone +91 98765 00001 " + "x " * 80 + "+91 98765 00002 Dinesh Nair",
+    ]
+    docs = adapters.case_texts(spark, DIR).select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd, -len(odd))), "doc_id long, text string"))
+    found = t.mentions(docs)
+    by_doc = {}
+    for x in found.collect():
+        by_doc.setdefault(x.doc_id, []).append((x.start, x.entity_type, x.value, x.normalized_value))
+    texts = dict(docs.collect())
+    expected = {(d, *k, c) for d, f in by_doc.items() for k, c in plain_relations(texts[d], sorted(f)).items()}
+    got = [(x.doc_id, x.relation_type, x.source_normalized, x.target_normalized, x.confidence) for x in t.relations(docs, found).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert {k[1] for k in got} >= {"KNOWS", "ACCOMPLICE_OF", "WORKS_FOR", "TRANSFERRED_TO", "CONTACTED", "ASSOCIATED_WITH", "MENTIONED_WITH", "PERSON_USED_PHONE", "PERSON_OWNS_VEHICLE", "EVIDENCE_RELATED_CASE", "CASE_RELATED_FIR"}
