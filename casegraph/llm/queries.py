@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, licenses, linededup, lm, mixing, quality, sharding, simhash, urlfilter
+from . import decontaminate, langid, lexical, licenses, linededup, lm, mixing, quality, sharding, simhash, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lm_scoring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.by_fold(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, row_number() OVER () AS q,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark
+), c AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), s AS (
+  SELECT r, doc_id, w, 50 + (50 * len(w)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0
+), p AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(m) AS m, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, m, unnest(w) AS term FROM s) GROUP BY r, term
+), f AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c
+), scored AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM (SELECT q, item_id, unnest(w) AS term FROM b) JOIN f USING (term) JOIN p USING (term) GROUP BY q, r
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
