@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, lexical, licenses, linededup, lm, mixing, quality, sharding, simhash, urlfilter
+from . import decontaminate, langid, lexical, licenses, linededup, lm, merkle, mixing, quality, sharding, simhash, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,69 @@ FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NU
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def _tree_sql(nodes: str, out: str, levels: int) -> str:
+    """Common table expressions for trees over `nodes` (g, i, d; i from 0 in each g): out_n0 up to out_n<levels> are the nodes,
+    out_p0 up to out_p<levels - 1> the digests beside each node; `up` says whether a level has more than one node."""
+    text = f"{out}_n0 AS (SELECT g, i, d, count(*) OVER (PARTITION BY g) > 1 AS up FROM {nodes})"
+    for k in range(levels):
+        text += f"""
+, {out}_p{k} AS (
+  SELECT g, i, up, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {out}_n{k} WINDOW w AS (PARTITION BY g, i // 8 ORDER BY i)
+), {out}_n{k + 1} AS (
+  SELECT *, count(*) OVER (PARTITION BY g) > 1 AS up
+  FROM (SELECT g, i // 8 AS i, CASE WHEN any_value(up) THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d FROM {out}_n{k} GROUP BY g, i // 8)
+)"""
+    return text
+
+
+def _fold_sql(out: str, levels: int, start: str) -> str:
+    """From `start` (.., i, proof, acc): one table for each level, with the digests added to proof and acc folded."""
+    text, last = "", start
+    for k in range(levels):
+        text += f"""
+, {out}_f{k + 1} AS (
+  SELECT f.* REPLACE (f.i // 8 AS i, CASE WHEN up THEN f.proof || l || r ELSE f.proof END AS proof, CASE WHEN up THEN sha256(l || f.acc || r) ELSE f.acc END AS acc)
+  FROM {last} f JOIN {out}_p{k} p ON p.g = f.g AND p.i = f.i
+)"""
+        last = f"{out}_f{k + 1}"
+    return text
+
+
+def _merkle_sql(levels: int = 8, group_levels: int = 3) -> str:
+    """Trees of up to 8**levels rows a lang, and 8**group_levels langs."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    byte = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b : xor(a >> 1, 3988292384 * (a & 1)))"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x : ascii(x)::BIGINT)"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS g, {leaf('text')} AS leaf,
+         {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, x : {byte}), 4294967295) % 3 = 0 AS hit
+  FROM documents
+), rows AS (
+  SELECT doc_id, g, leaf, CASE WHEN hit THEN changed ELSE leaf END AS shown, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM d
+), leaves AS (
+  SELECT g, i, leaf AS d FROM rows
+), {_tree_sql('leaves', 't', levels)}
+, subroots AS (
+  SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, g AS key FROM t_n{levels}
+), {_tree_sql('subroots', 'l', group_levels)}
+, t_f0 AS (
+  SELECT doc_id, leaf, g, i, '' AS proof, shown AS acc FROM rows
+){_fold_sql('t', levels, 't_f0')}
+, l_f0 AS (
+  SELECT f.doc_id, f.leaf, s.d AS subroot, s.g, s.i, f.proof, f.acc FROM t_f{levels} f JOIN subroots s ON s.key = f.g
+){_fold_sql('l', group_levels, 'l_f0')}
+SELECT f.doc_id, f.leaf, f.subroot, n.d AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = n.d AS verified
+FROM l_f{group_levels} f, l_n{group_levels} n
+"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
