@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, utf8, written
 
-TOP, SEGMENT_BYTES, BLOCK_DOCS, QUERY_BYTES = 50, 24 << 20, 512, 4 << 20
+TOP, SEGMENT_BYTES, BLOCK_DOCS, QUERY_BYTES = 50, 12 << 20, 512, 4 << 20
 #: Blocks that are scored first for each item, and numbers in a scoring matrix.
 FIRST, CELLS = 4, 1 << 22
 
@@ -43,7 +44,7 @@ FIRST, CELLS = 4, 1 << 22
 _PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _TERMS = ASCII_LOWER.translate(_PARTED)
 
-INDEX = "block long, m long, docs array<long>, terms array<binary>, groups array<int>, tfs array<int>, sizes array<int>, places array<int>"
+INDEX = "block long, m long, docs array<long>, terms array<binary>, groups array<smallint>, tfs array<int>, sizes array<smallint>, places array<smallint>"
 
 
 def terms_of(raw: bytes) -> list[bytes]:
@@ -59,12 +60,11 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"n_docs": [n], "n_terms": [total]})
 
 
-def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.ListArray:
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
 
 
-def _segment(docs: list, lengths: list[int], ids: list[int], vocabulary: list[bytes], n_docs: int, n_terms: int, first: int) -> pa.RecordBatch:
+def _segment(docs: list, lengths: list[int], ids: array, vocabulary: list[bytes], n_docs: int, n_terms: int, first: int) -> pa.RecordBatch:
     """The stratum blocks of some documents: ids are their terms, one document after the other."""
     ms = np.array([50 + 50 * n * n_docs // n_terms for n in lengths], np.int64)
     order = np.argsort(ms, kind="stable")
@@ -77,10 +77,10 @@ def _segment(docs: list, lengths: list[int], ids: list[int], vocabulary: list[by
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
     v = len(vocabulary)
-    keys, tf = np.unique(np.repeat(rank, lengths) * v + np.array(ids, np.int64), return_counts=True)
-    doc, term = keys // v, keys % v
-    top = int(tf.max()) + 1
-    key = (block[doc] * v + term) * top + tf
+    keys, tf = np.unique(np.repeat(rank, lengths) * v + np.frombuffer(ids, np.int32), return_counts=True)
+    doc, top = keys // v, int(tf.max()) + 1
+    key = (block[doc] * v + keys % v) * top + tf
+    del keys, tf
     by = np.argsort(key, kind="stable")
     key, doc = key[by], doc[by]
     g = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # first posting of each (block, term, tf)
@@ -99,10 +99,10 @@ def _segment(docs: list, lengths: list[int], ids: list[int], vocabulary: list[by
             pa.array(ms[rows]),
             pa.ListArray.from_arrays(pa.array(np.r_[rows, len(ms)].astype(np.int32)), pa.array([docs[i] for i in order], pa.int64())),
             _lists(pa.array(vocabulary, pa.binary()).take(pa.array(of_term[t] % v)), ends_t),
-            _lists(groups, ends_t),
-            _lists(key % top, ends_g),
-            _lists(sizes, ends_g),
-            _lists(place[doc], ends_p),
+            _lists(pa.array(groups.astype(np.int16)), ends_t),
+            _lists(pa.array((key % top).astype(np.int32)), ends_g),
+            _lists(pa.array(sizes.astype(np.int16)), ends_g),
+            _lists(pa.array(place[doc].astype(np.int16)), ends_p),
         ],
         ["block", "m", "docs", "terms", "groups", "tfs", "sizes", "places"],
     )
@@ -110,7 +110,7 @@ def _segment(docs: list, lengths: list[int], ids: list[int], vocabulary: list[by
 
 def _segments(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, segment_bytes: int) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 33
-    docs, lengths, ids, size = [], [], [], 0
+    docs, lengths, ids, size = [], [], array("i"), 0
     numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
 
     def flushed() -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def _segments(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, segm
             first += len(rows)
             for k in range(0, len(rows), 64):
                 yield rows.slice(k, 64)
-        docs, lengths, ids, size = [], [], [], 0
+        docs, lengths, ids, size = [], [], array("i"), 0
         numbers.clear()
         numbers.default_factory = itertools.count().__next__
 
