@@ -48,6 +48,12 @@ def _similarity(x: str, y: str, threshold: float) -> float:
     return score if score >= threshold else 0.0
 
 
+@F.pandas_udf(T.DoubleType())
+def token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The matching-blocks ratio of two tokens, remembered."""
+    return pd.Series([_token_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def name_similarity(threshold: float):
     """H2: _similarity of two columns, a batch at a time."""
 
@@ -73,23 +79,111 @@ def resolved_entities(mentions: DataFrame, existing: DataFrame | None = None) ->
     return found.join(known, (F.col("entity_type") == F.col("et")) & (F.col("key") == F.col("ek")), "left").withColumn("reused", F.col("ek").isNotNull()).drop("et", "ek")
 
 
-def fuzzy_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.84) -> DataFrame:
-    """R2: (new_id, existing_id, score): the best match of each new name within its type.
+#: Least ratio of a token with its best partner. Tokens whose block has over BLOCK_PAIRS pairs of names bring names together only with a
+#: partner of another token.
+LEAST_TOKEN, BLOCK_PAIRS = 0.65, 10_000
+
+
+def _names(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """Distinct normalised names of a type with their tokens and smallest id: equal names are compared once."""
+    found = df.select(F.col("entity_type").alias("kind"), n.normalize_company_tokens(F.col("name")).alias(text), id_).where(F.col(text) != "")
+    return found.groupBy("kind", text).agg(F.min(id_).alias(id_)).withColumn("words", F.split(text, " ")).withColumn("tokens", F.size("words"))
+
+
+def _needed(a: Column, b: Column) -> tuple[Column, Column]:
+    """Of two tokens' lengths: the characters that must match for a ratio of LEAST_TOKEN, and the gapped pairs that they must share.
+
+    A ratio counts characters in equal order. Of two matched neighbours with at most one character skipped on either side both
+    tokens hold the same gapped pair; each two skipped characters of a token spoil one such pair at most.
+    """
+    chars = F.ceil((a + b) * LEAST_TOKEN / 2 - 1e-9)
+    spoilt = lambda length: F.floor((length - chars) / 2)
+    return chars, chars - 1 - spoilt(a) - spoilt(b)
+
 
-    new: new_id, entity_type, name; existing: existing_id, entity_type, name. A match needs equal token counts and an
-    exact token in common, so names meet by (type, token count, token): no match is lost. A token that most names share
-    (a legal form) still brings all of them together; AQE splits such a block, and most of its pairs end at the length
-    bound or at remembered token ratios.
+def _grams(df: DataFrame, token: str) -> DataFrame:
+    """Of each token its length, and each gapped pair (2..) and character (1..) with the number of times that it is there."""
+    at = lambda i, k: F.substring(F.col(token), i, k)
+    places = F.sequence(F.lit(1), F.length(token))
+    near = F.transform(F.filter(places, lambda i: i < F.length(token)), lambda i: F.concat(F.lit("2"), at(i, F.lit(2))))
+    far = F.transform(F.filter(places, lambda i: i + 1 < F.length(token)), lambda i: F.concat(F.lit("2"), at(i, F.lit(1)), at(i + 2, F.lit(1))))
+    alone = F.transform(places, lambda i: F.concat(F.lit("1"), at(i, F.lit(1))))
+    return df.select(token, F.length(token).alias(f"{token}_len"), F.explode(F.concat(near, far, alone)).alias("gram")).groupBy(token, f"{token}_len", "gram").agg(F.count("*").alias(f"{token}_n"))
+
+
+def similar_tokens(some: DataFrame, others: DataFrame) -> DataFrame:
+    """(s, t, ratio): tokens of `some` and `others` with a matching-blocks ratio of LEAST_TOKEN or more; none is lost.
+
+    Tokens meet in what they must share: gapped pairs, or characters where a pair so short need share none. Only counted
+    candidates are compared. The candidates grow with the square of the distinct tokens of like letters, not with that of the names.
+    """
+    chars, pairs = _needed(F.col("s_len"), F.col("t_len"))
+    met = _grams(some, "s").join(_grams(others, "t"), "gram").where(F.least("s_len", "t_len") >= chars)
+    met = met.where(F.substring("gram", 1, 1) == F.when(pairs >= 1, "2").otherwise("1"))
+    found = met.groupBy("s", "t", "s_len", "t_len").agg(F.sum(F.least("s_n", "t_n")).alias("shared"))
+    found = found.where(F.col("shared") >= F.when(pairs >= 1, pairs).otherwise(chars))
+    return found.select("s", "t", token_ratio("s", "t").alias("ratio")).where(F.col("ratio") >= LEAST_TOKEN)
+
+
+def name_pairs(new: DataFrame, existing: DataFrame, threshold: float = 0.84, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """(kind, x, y, score): distinct normalised names of new (kind, x, words, tokens) and of existing (y) of one type that match.
+
+    A match needs equal token counts, an exact token in common and a partner of ratio .65 or more for each of x's tokens. Names meet in
+    (type, token count, exact token). A common token, such as a legal form, doesn't bring all its names together: there they
+    meet in (token, partner of x's longest other token). That token needs a partner, so no match is lost.
+    """
+    side = lambda df, text: df.select("kind", "tokens", text, "words", F.explode(F.array_distinct("words")).alias("token"))
+    left, right = side(new, "x"), side(existing, "y")
+    by = ["kind", "tokens", "token"]
+    sizes = left.groupBy(by).agg(F.count("*").alias("nx")).join(right.groupBy(by).agg(F.count("*").alias("ny")), by)
+    common = sizes.where(F.col("nx") * F.col("ny") > block_pairs).select(by)
+    few = left.join(common, by, "left_anti").join(right, by).select("kind", "x", "y")
+    # x's other tokens: its words without one place of the common token.
+    at = F.array_position("words", F.col("token"))
+    others = F.filter("words", lambda w, i: i + 1 != at)
+    chosen = F.array_max(F.transform(others, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    hard = left.join(common, by).select(*by, "x", chosen.alias("s")).where("s is not null")
+    behind = right.join(common, by).select(*by, "y", F.explode(F.array_distinct("words")).alias("t"))
+    partners = similar_tokens(hard.select("s").distinct(), behind.select("t").distinct())
+    many = hard.join(partners, "s").join(behind, [*by, "t"]).select("kind", "x", "y")
+    same = new.join(existing.select("kind", F.col("y").alias("x")), ["kind", "x"]).select("kind", "x", F.col("x").alias("y"))
+    near = few.union(many).distinct().where("x <> y").where(2 * F.least(F.length("x"), F.length("y")) * 0.6 >= (threshold - 0.4) * (F.length("x") + F.length("y")))
+    scored = near.withColumn("score", name_similarity(threshold)("x", "y")).where(F.col("score") >= threshold)
+    return scored.union(same.withColumn("score", F.lit(1.0)))
+
+
+def fuzzy_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.84, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """R2: (new_id, existing_id, score): the best match of each new name within its type; of equal ones the smallest id.
+
+    new: new_id, entity_type, name; existing: existing_id, entity_type, name. Each distinct name is matched once.
+    """
+    known = _names(existing, "existing_id", "y")
+    pairs = name_pairs(_names(new, "new_id", "x"), known, threshold, block_pairs).join(known.select("kind", "y", "existing_id"), ["kind", "y"])
+    best = pairs.groupBy("kind", "x").agg(F.max_by("existing_id", F.struct("score", -F.col("existing_id"))).alias("existing_id"), F.max("score").alias("score"))
+    rows = new.select("new_id", F.col("entity_type").alias("kind"), n.normalize_company_tokens(F.col("name")).alias("x"))
+    return rows.join(best, ["kind", "x"]).select("new_id", "existing_id", F.bround("score", 6).alias("score"))
+
+
+def merged_names(new: DataFrame, threshold: float = 0.84, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """R1, R2 among new names: (new_id, entity_id, names): entity_id is the smallest new_id of the names that belong together, names their
+    number of distinct spellings.
+
+    new: new_id (in the order of arrival), entity_type, name. One-at-a-time upserts compare a name with the entities made so far and
+    give it to the best. Here two names are linked if the later one matches the earlier one, and an entity is a connected component of
+    links with its earliest name as representative. Differences: a name that matches two earlier entities joins them, and
+    a name also joins through a spelling that was itself merged, not only through the representative's. A name that matches one
+    entity's first spelling alone gets the same entity in both forms. Names of no letter or digit have no row.
     """
-    def blocked(df: DataFrame, id_: str, as_: str) -> DataFrame:
-        text = n.normalize_company_tokens(F.col("name"))
-        return df.select(id_, F.col("entity_type").alias("kind"), text.alias(as_), F.size(F.split(text, " ")).alias("tokens"), F.explode(F.array_distinct(F.split(text, " "))).alias("token")).where(F.col(as_) != "")
-
-    pairs = blocked(new, "new_id", "x").join(blocked(existing, "existing_id", "y"), ["kind", "tokens", "token"]).select("new_id", "existing_id", "x", "y").distinct()
-    pairs = pairs.where(2 * F.least(F.length("x"), F.length("y")) * 0.6 >= (threshold - 0.4) * (F.length("x") + F.length("y")))
-    scored = pairs.withColumn("score", name_similarity(threshold)("x", "y")).where(F.col("score") >= threshold)
-    best = scored.groupBy("new_id").agg(F.max_by("existing_id", F.struct("score", -F.col("existing_id"))).alias("existing_id"), F.max("score").alias("score"))
-    return best.select("new_id", "existing_id", F.bround("score", 6).alias("score"))
+    names = _names(new, "new_id", "x")
+    other = names.withColumnRenamed("x", "y")
+    of = lambda c, as_: names.select("kind", F.col("x").alias(c), F.col("new_id").alias(as_))
+    pairs = name_pairs(names, other, threshold, block_pairs).where("x <> y")
+    links = pairs.join(of("x", "b"), ["kind", "x"]).join(of("y", "a"), ["kind", "y"]).where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    linked_ = g.components(links.select(F.col("src").alias("node_id")), links).select(F.col("node_id").alias("first"), F.col("component").alias("entity_id"))
+    rows = names.select("kind", "x", F.col("new_id").alias("first")).join(linked_, "first", "left").withColumn("entity_id", F.coalesce("entity_id", "first"))
+    sizes = rows.groupBy("entity_id").agg(F.count("*").alias("names"))
+    texts = new.select("new_id", F.col("entity_type").alias("kind"), n.normalize_company_tokens(F.col("name")).alias("x"))
+    return texts.join(rows.join(sizes, "entity_id"), ["kind", "x"]).select("new_id", "entity_id", "names")
 
 
 def gazetteer_matches(mentions: DataFrame, known: DataFrame, accept: float = 0.85) -> DataFrame:
