@@ -38,7 +38,7 @@ from .common import ASCII_LOWER, utf8, written
 
 TOP, SEGMENT_BYTES, BLOCK_DOCS, QUERY_BYTES = 50, 12 << 20, 512, 4 << 20
 #: Blocks that are scored first for each item, and numbers in a scoring matrix.
-FIRST, CELLS = 4, 1 << 22
+FIRST, CELLS = 4, 1 << 20
 
 #: Lower-cases A-Z; ASCII other than letters and digits parts terms.
 _PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -195,21 +195,36 @@ class _Blocks:
         flat = lambda name: np.asarray(batch.column(name).flatten())
         ends = lambda name: np.r_[0, np.cumsum(np.asarray(batch.column(name).value_lengths()))]
         self.m, self.block = np.asarray(batch.column("m")), np.asarray(batch.column("block"))
-        self.terms, self.tfs, self.sizes = ends("terms"), flat("tfs").astype(np.int64), flat("sizes").astype(np.int64)
         self.numbers = np.asarray(pc.fill_null(pc.index_in(batch.column("terms").flatten(), value_set=vocabulary), -1))
-        self.groups = np.r_[0, np.cumsum(flat("groups"), dtype=np.int64)]  # of each term, the first of its groups
-        self.postings = np.r_[0, np.cumsum(self.sizes)]  # of each group, the first of its postings
+        self.term_ends, self.group_ends = ends("terms"), ends("tfs")
+        self.flat_groups, self.flat_tfs, self.flat_sizes = flat("groups"), flat("tfs"), flat("sizes")
         if "places" in batch.schema.names:
-            self.places, self.doc_ends, self.docs = flat("places"), ends("docs"), batch.column("docs").flatten()
-
-    def impacts(self, row: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a block's terms in the vocabulary: numbers, groups (flat), groups of each term, and each group's weighted impact."""
-        t = self.terms[row] + np.flatnonzero(self.numbers[self.terms[row] : self.terms[row + 1]] >= 0)
-        n = self.groups[t + 1] - self.groups[t]
-        g = np.repeat(self.groups[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(t) else np.zeros(0, np.int64)
-        tf = self.tfs[g]
-        number = self.numbers[t]
-        return number, g, n, (1_000_000_000 * tf) // (1000 * tf + 20 * self.m[row]) * np.repeat(weights[number], n)
+            self.flat_places, self.place_ends = flat("places"), ends("places")
+            self.docs, self.doc_ends = batch.column("docs").flatten(), ends("docs")
+
+    def terms(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block's terms in the vocabulary: numbers, first groups, and the groups' number."""
+        t0, t1 = self.term_ends[r], self.term_ends[r + 1]
+        numbers = self.numbers[t0:t1]
+        t = np.flatnonzero(numbers >= 0)
+        n = self.flat_groups[t0:t1].astype(np.int64)
+        return numbers[t], (np.cumsum(n) - n)[t], n[t]
+
+    def sizes(self, r: int) -> np.ndarray:
+        return self.flat_sizes[self.group_ends[r] : self.group_ends[r + 1]].astype(np.int64)
+
+    def impacts(self, r: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block's terms in the vocabulary: numbers, all their groups, the groups' number of each, and each group's weighted impact."""
+        number, first, n = self.terms(r)
+        g = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        tf = self.flat_tfs[self.group_ends[r] + g].astype(np.int64)
+        return number, g, n, (1_000_000_000 * tf) // (1000 * tf + 20 * self.m[r]) * np.repeat(weights[number], n)
+
+    def postings(self, r: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all postings of some groups, and how many each group has."""
+        sizes = self.sizes(r)
+        first, n = (np.cumsum(sizes) - sizes)[g], sizes[g]
+        return self.flat_places[self.place_ends[r] + np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
 def _bounds(number: np.ndarray, n: np.ndarray, impacts: np.ndarray, queries: Queries) -> np.ndarray:
@@ -224,8 +239,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
     df = np.zeros(len(vocabulary), np.int64)
     for batch in batches:
         rows = _Blocks(batch, vocabulary)
-        t = np.flatnonzero(rows.numbers >= 0)
-        np.add.at(df, rows.numbers[t], rows.postings[rows.groups[t + 1]] - rows.postings[rows.groups[t]])
+        for r in range(len(rows.m)):
+            number, first, n = rows.terms(r)
+            postings = np.r_[0, np.cumsum(rows.sizes(r))]
+            df[number] += postings[first + n] - postings[first]  # a term is in a block once
     yield pa.RecordBatch.from_pydict({"term": np.flatnonzero(df), "df": df[df > 0]})
 
 
@@ -285,17 +302,16 @@ def _visit(rows: _Blocks, r: int, number: np.ndarray, g: np.ndarray, n: np.ndarr
     docs = rows.docs.slice(d0, d1 - d0)
     known = np.asarray(docs.is_valid())
     docs = np.asarray(docs.fill_null(0))
-    sizes = rows.sizes[g]
-    at = np.repeat(rows.postings[g] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    places, sizes = rows.postings(r, g)
+    lines, values = np.repeat(np.repeat(np.arange(len(number)), n), sizes), np.repeat(impacts, sizes)
     line = np.full(len(queries.vocabulary), len(number))
     line[number] = np.arange(len(number))
     ends = np.r_[queries.starts[1:], len(queries.terms)]
     width = max(1, CELLS // (len(number) + 1))
     for low in range(0, len(docs), width):
-        place = rows.places[at] - low
-        here = (place >= 0) & (place < width)
+        here = (places >= low) & (places < low + width)
         cells = np.zeros((len(number) + 1, min(width, len(docs) - low)), np.int64)  # the last line is of the absent terms
-        cells[np.repeat(np.repeat(np.arange(len(number)), n), sizes)[here], place[here]] = np.repeat(impacts, sizes)[here]
+        cells[lines[here], places[here] - low] = values[here]
         step = 0
         while step < len(active):
             lengths = np.cumsum(ends[active[step:]] - queries.starts[active[step:]])
