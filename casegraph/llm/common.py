@@ -40,11 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that the cluster shares, read again; later passes read only what they need."""
+def written(df: DataFrame, group_bytes: int = 0) -> DataFrame:
+    """df as a Parquet table in the folder that the cluster shares, read again; later passes read only what they need.
+
+    Row groups of group_bytes, if given: writer and reader hold one at a time, which matters where rows are large."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Ranked lexical search over a length-stratified index.
 
 The index is a table. A row is a stratum block: documents of one normaliser m (at most BLOCK_DOCS of them, from one
-segment of SEGMENT_BYTES of text), the terms they hold, and for each term its postings grouped by tf. Documents of equal m
+segment of SEGMENT_BYTES of text), the terms they hold (parted by spaces, which no term has), and for each term its postings grouped by tf. Documents of equal m
 and equal tf have one impact, so an impact is computed once for each term and tf of a block, not for each posting. Tasks build
 segments from the partitions they read: no exchange, and a stratum with a third of all documents is just many blocks.
 
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, utf8, written
 
 TOP, SEGMENT_BYTES, BLOCK_DOCS, QUERY_BYTES = 50, 12 << 20, 512, 4 << 20
+#: Row groups of the index: a row is some 50 kB.
+GROUP_BYTES = 2 << 20
 #: Blocks that are scored first for each item, and numbers in a scoring matrix.
 FIRST, CELLS = 4, 1 << 20
 
@@ -44,7 +46,7 @@ FIRST, CELLS = 4, 1 << 20
 _PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _TERMS = ASCII_LOWER.translate(_PARTED)
 
-INDEX = "block long, m long, docs array<long>, terms array<binary>, groups array<smallint>, tfs array<int>, sizes array<smallint>, places array<smallint>"
+INDEX = "block long, m long, docs array<long>, terms binary, groups array<smallint>, tfs array<int>, sizes array<smallint>, places array<smallint>"
 
 
 def terms_of(raw: bytes) -> list[bytes]:
@@ -98,7 +100,7 @@ def _segment(docs: list, lengths: list[int], ids: array, vocabulary: list[bytes]
             pa.array(first + np.arange(n_blocks)),
             pa.array(ms[rows]),
             pa.ListArray.from_arrays(pa.array(np.r_[rows, len(ms)].astype(np.int32)), pa.array([docs[i] for i in order], pa.int64())),
-            _lists(pa.array(vocabulary, pa.binary()).take(pa.array(of_term[t] % v)), ends_t),
+            pc.binary_join(_lists(pa.array(vocabulary, pa.binary()).take(pa.array(of_term[t] % v)), ends_t), b" "),
             _lists(pa.array(groups.astype(np.int16)), ends_t),
             _lists(pa.array((key % top).astype(np.int32)), ends_g),
             _lists(pa.array(sizes.astype(np.int16)), ends_g),
@@ -150,7 +152,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segme
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_docs, n_terms = rows.select("text").mapInArrow(_lengths, "n_docs long, n_terms long").agg(F.sum("n_docs"), F.sum("n_terms")).first()
     build = functools.partial(_segments, n_docs=n_docs or 0, n_terms=n_terms or 0, segment_bytes=segment_bytes)
-    return Index(written(rows.mapInArrow(build, INDEX)), n_docs or 0)
+    return Index(written(rows.mapInArrow(build, INDEX), GROUP_BYTES), n_docs or 0)
 
 
 @dataclass(frozen=True)
@@ -195,8 +197,9 @@ class _Blocks:
         flat = lambda name: np.asarray(batch.column(name).flatten())
         ends = lambda name: np.r_[0, np.cumsum(np.asarray(batch.column(name).value_lengths()))]
         self.m, self.block = np.asarray(batch.column("m")), np.asarray(batch.column("block"))
-        self.numbers = np.asarray(pc.fill_null(pc.index_in(batch.column("terms").flatten(), value_set=vocabulary), -1))
-        self.term_ends, self.group_ends = ends("terms"), ends("tfs")
+        terms = pc.split_pattern(batch.column("terms"), b" ").flatten()
+        self.numbers = np.asarray(pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1))
+        self.term_ends, self.group_ends = ends("groups"), ends("tfs")
         self.flat_groups, self.flat_tfs, self.flat_sizes = flat("groups"), flat("tfs"), flat("sizes")
         if "places" in batch.schema.names:
             self.flat_places, self.place_ends = flat("places"), ends("places")
