@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
 
@@ -57,8 +58,9 @@ def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("entity_id", "pattern_type", "title").distinct().groupBy(F.col("entity_id").alias("node_id")).agg(F.count("*").alias("n"))
 
 
-def entity_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The six signal values of every node: node_id, entity_type and a column for each of WEIGHTS."""
+def entity_signals(nodes: DataFrame, edges: DataFrame, for_score: bool = False) -> DataFrame:
+    """The six signal values of every node: node_id, entity_type and a column for each of WEIGHTS. for_score: the density is
+    only as exact as the score needs it, which is cheaper; top signals and the signal table need all digits."""
     connect = a.connection_score(nodes, edges).select("node_id", F.col("score").alias("connectivity"))
     diverse = a.relationship_diversity(nodes, edges).select("node_id", clamp(F.col("type_count") / 6).alias("diversity"))
     people = g.typed_neighbours(nodes, edges).where("lower(other_type) = 'person'").groupBy(F.col("node").alias("node_id")).agg(F.count_distinct("other").alias("p"))
@@ -67,29 +69,69 @@ def entity_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     person = nodes.where("lower(entity_type) = 'person'").select("node_id")
     aides = aides.join(person, "node_id", "left_semi").select("node_id", clamp(F.col("n") * 0.5).alias("accomplice"))
     patterns = pattern_counts(nodes, edges).select("node_id", clamp(F.col("n") / 4).alias("patterns"))
-    density = neighbourhood_density(nodes, edges).select("node_id", clamp(F.col("density")).alias("density"))
+    counted = neighbourhood_density(nodes, edges, use=lambda d: nearest(d * WEIGHTS["density"], 4)) if for_score else neighbourhood_density(nodes, edges)
+    density = counted.select("node_id", clamp(F.col("density")).alias("density"))
     out = nodes.select("node_id", "entity_type")
     for part in (connect, diverse, shared, aides, patterns, density):
         out = out.join(part, "node_id", "left")
     return out.na.fill(0.0, list(WEIGHTS))
 
 
-def neighbourhood_density(nodes: DataFrame, edges: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(node_id, density) of every node's neighbourhood of depth 2, as local_density: all its n members neighbour another one, so the numerator is n.
+#: Ids are dealt into SLICES by hash. Up to AT_ONCE ids are counted in one round, more in rounds that end at these slices.
+SLICES, ENDS, AT_ONCE = 64, (8, 32, 64), 500_000_000
 
-    A node's neighbours' lists meet at the node and are counted without repeats. Ids are dealt into parts by hash, so that no list that
-    meets in one place is much longer than `most`; parts share no id, so their counts add up. The lists hold the sum of the
-    neighbours' degrees, square in the degree of a hub's neighbours.
+
+def neighbourhood_density(nodes: DataFrame, edges: DataFrame, most: int = 2_000_000, use: Callable[[Column], Column] = lambda density: density, at_once: int = AT_ONCE) -> DataFrame:
+    """(node_id, density) of every node's neighbourhood of depth 2, as local_density: all its n members neighbour another one, so the
+    density is 1 / n in 4 digits.
+
+    Many n have one such value (1 / n is 0 from 20,001 members on), so not all members need be counted. The largest degree of a
+    neighbour is a lower bound of n, their sum and the number of all nodes are upper ones; these follow from the edges. A node whose bounds have
+    one value is settled. For the others a first slice of the ids (by hash) is counted exactly, bounds hold for the remaining slices, and
+    so on. Slices share no id, so their counts add up, and the result is exact. `use` is what the density is wanted for: a node is settled where
+    use(density) is, and its density may be another one of equal use. A score takes density * 0.05 in 4 digits, which is 0 from 1,053
+    members on: a node with such a neighbour needs no list, so the lists of the others hold under 1,053 ids for each of their edges.
+    Lists are dealt into parts, so that none that meets in one place is much longer than `most`.
     """
-    near = g.checkpointed(g.symmetric(edges).select("node", "other").where("node <> other").distinct())
-    degree = near.groupBy(F.col("node").alias("other")).agg(F.count("*").alias("d"))
-    largest = near.join(degree, "other").groupBy("node").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0
-    near = near.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(largest // most + 1)).cast("int"))
-    lists = near.groupBy(F.col("node").alias("other"), "part").agg(F.collect_list("other").alias("ids"))
-    met = near.select("node", "part", F.array("other").alias("ids")).union(near.select("node", "other").join(lists, "other").select("node", "part", "ids"))
+    slice_ = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES))
+    near = g.checkpointed(g.symmetric(edges).select("node", "other").where("node <> other").distinct().withColumn("slice", slice_("other")))
+    value = lambda n: F.bround(1 / n, 4)
+    open_, settled = near.select("node").distinct().withColumn("seen", F.lit(0).cast("long")), []
+    ids = [0] * SLICES  # nodes in each slice
+    for r in open_.groupBy(slice_("node").alias("slice")).count().collect():
+        ids[r["slice"]] = r["count"]
+    begin, ends = 0, [0]
+    while ends:
+        end = ends.pop(0)
+        if end:
+            open_ = open_.join(_members(near.where((F.col("slice") >= begin) & (F.col("slice") < end)), near, open_, most), "node", "left")
+            open_ = open_.select("node", (F.col("seen") + F.coalesce("n", F.lit(0))).alias("seen"))
+        rest = near.where(F.col("slice") >= end).groupBy("node").agg(F.count("*").alias("d"))
+        by = near.select("node", "other").join(open_.select("node"), "node", "left_semi").join(rest.withColumnRenamed("node", "other"), "other")
+        by = by.groupBy("node").agg(F.max("d").alias("most"), F.sum("d").alias("sum"), F.count("*").alias("k"))
+        bounds = open_.join(rest, "node", "left").join(by, "node", "left").na.fill(0, ["d", "most", "sum", "k"]).withColumn("all", F.lit(sum(ids[end:])))
+        own = (slice_("node") >= end).cast("long")  # a node is in all its neighbours' lists, and isn't a member
+        low, high = F.col("seen") + F.greatest("d", F.col("most") - own), F.col("seen") + F.least(F.col("d") + F.col("sum") - F.col("k") * own, F.col("all") - own)
+        bounds = g.checkpointed(bounds.select("node", "seen", "sum", value(low).alias("density"), (use(value(low)) == use(value(high))).alias("settled")))
+        settled.append(bounds.where("settled").select("node", "density"))
+        open_ = bounds.where("not settled").select("node", "seen", "sum")
+        left = open_.agg(F.sum("sum")).first()[0]
+        ends = [] if left is None else ends if end else [SLICES] if left <= at_once else list(ENDS)
+        begin, open_ = end, open_.drop("sum")
+    return nodes.select("node_id").join(reduce(DataFrame.union, settled).withColumnRenamed("node", "node_id"), "node_id")
+
+
+def _members(part: DataFrame, near: DataFrame, open_: DataFrame, most: int) -> DataFrame:
+    """(node, n): the members of the open nodes' neighbourhoods among the ids (other) of `part`."""
+    of = near.select("node", F.col("other").alias("by")).join(open_.select("node"), "node", "left_semi")
+    degree = part.groupBy(F.col("node").alias("by")).agg(F.count("*").alias("d"))
+    largest = of.join(degree, "by").groupBy("node").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0] or 0
+    part = part.withColumn("part", F.pmod(F.xxhash64("other", F.lit(1)), F.lit(largest // most + 1)).cast("int"))
+    lists = part.groupBy(F.col("node").alias("by"), "part").agg(F.collect_list("other").alias("ids"))
+    own = part.join(open_.select("node"), "node", "left_semi").select("node", "part", F.array("other").alias("ids"))
+    met = own.union(of.join(lists, "by").select("node", "part", "ids"))
     ids = F.array_remove(F.array_distinct(F.flatten(F.collect_list("ids"))), F.col("node"))
-    others = met.groupBy("node", "part").agg(F.size(ids).alias("n")).groupBy(F.col("node").alias("node_id")).agg(F.sum("n").alias("others"))
-    return nodes.select("node_id").join(others, "node_id").select("node_id", F.bround(1 / F.col("others"), 4).alias("density"))
+    return met.groupBy("node", "part").agg(F.size(ids).alias("n")).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def level(score: Column) -> Column:
@@ -220,9 +262,12 @@ def confidence_components(entities: DataFrame, relationships: DataFrame, evidenc
 
 
 def risk_rollup(scope: DataFrame, risk: DataFrame) -> DataFrame:
-    """Per investigation: entities, highest and mean entity score; scope has (investigation_id, entity_id)."""
+    """Per investigation: entities, highest and mean entity score (4 digits, half-even); scope has (investigation_id, entity_id)."""
     scored = scope.select(INV, "entity_id").distinct().join(risk.select(F.col("node_id").alias("entity_id"), "score"), "entity_id", "left")
-    return scored.groupBy(INV).agg(F.count("*").alias("entities"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), rounded(F.coalesce(F.avg(F.coalesce("score", F.lit(0.0))), F.lit(0.0)), 4).alias("mean_score"))
+    # Scores have 4 digits: their sum is a whole number of units, so that no order of adding matters and a tie is a tie.
+    total, n = F.sum(F.round(F.coalesce("score", F.lit(0.0)) * 10_000).cast("long")), F.count("*")
+    sums = scored.groupBy(INV).agg(n.alias("entities"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"), total.alias("total"))
+    return sums.select(INV, "entities", "max_score", (F.expr("total div entities + if(2 * (total % entities) + (total div entities) % 2 > entities, 1, 0)") / 10_000).alias("mean_score"))
 
 
 def coverage_band(search: Column, memory: Column, graph: Column) -> Column:

@@ -439,8 +439,8 @@ SIGNALS = PADJ + """, pdeg AS (
 ).replace("TOTAL", repr(sum(k.WEIGHTS.values())))
 
 
-def signals(s, d):
-    return k.entity_signals(m.nodes(s, d), m.edges(s, d))
+def signals(s, d, for_score=False):
+    return k.entity_signals(m.nodes(s, d), m.edges(s, d), for_score)
 
 
 LEVEL = "CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.25 THEN 'low' ELSE 'minimal' END AS level"
@@ -448,7 +448,7 @@ LEVEL = "CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHE
 
 @query("k01_entity_risk", SIGNALS + f" SELECT node_id, entity_type, score, {LEVEL} FROM risk")
 def _(s, d):
-    return k.entity_risk(signals(s, d)).drop("top_signals", "explanation")
+    return k.entity_risk(signals(s, d, for_score=True)).drop("top_signals", "explanation")
 
 
 @query("k02_pattern_counts", SIGNALS + " SELECT node_id, n FROM pats")

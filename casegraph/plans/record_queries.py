@@ -779,8 +779,9 @@ def _(s, d):
 @query(
     "k13_risk_rollup",
     graph_queries.SIGNALS + """, own AS (SELECT DISTINCT investigation_id, unnest([source_entity_id, target_entity_id]) AS entity_id FROM relationships WHERE investigation_id IS NOT NULL)
-SELECT investigation_id, count(*) AS entities, coalesce(max(score), 0) AS max_score, round_even(round(avg(coalesce(score, 0)), 10) * 10000, 0) / 10000 AS mean_score FROM own LEFT JOIN risk ON node_id = entity_id GROUP BY investigation_id""",
+, sums AS (SELECT investigation_id, count(*) AS entities, coalesce(max(score), 0) AS max_score, sum(round(coalesce(score, 0) * 10000)::BIGINT)::BIGINT AS total FROM own LEFT JOIN risk ON node_id = entity_id GROUP BY investigation_id)
+SELECT investigation_id, entities, max_score, (total // entities + CASE WHEN 2 * (total % entities) > entities OR (2 * (total % entities) = entities AND (total // entities) % 2 = 1) THEN 1 ELSE 0 END) / 10000 AS mean_score FROM sums""",
 )
 def _(s, d):
     own = b.ends(b.valid(m.relationships(s, d))).where(f"{INV} is not null").select(INV, F.col("x").alias("entity_id"))
-    return k.risk_rollup(own, k.entity_risk(graph_queries.signals(s, d)))
+    return k.risk_rollup(own, k.entity_risk(graph_queries.signals(s, d, for_score=True)))
