@@ -4,9 +4,9 @@ A language gives each piece of a fixed public vocabulary a probability. A word's
 segmentations into pieces, by a forward recursion; a text's is the product over its words. Texts go to the language
 with the largest value (priors equal); the score is its posterior per word of the text, a number from 0 to 1.
 
-Words are runs of letters of the lower-cased text, whole, whatever their length; the vocabulary is that of a public
-tokenizer, lower-cased, pieces of up to PIECE_CHARS letters. Every single letter seen in training is a piece as well, and
-a letter never seen has the same small probability in each language.
+Words are runs of letters, with the marks on them, of the lower-cased text, whole, whatever their length (digits, fractions and number
+signs are no letters); the vocabulary is that of a public tokenizer, lower-cased, all its pieces of letters and marks. Every
+single letter or mark seen in training is a piece as well, and one never seen has the same small probability in each language.
 
 The probabilities come from expectation-maximisation over words of at most `train_docs` labelled texts a language (a
 hash of the id picks them, so the bound holds on average at any size); words of over WORD_CHARS letters are learned in
@@ -20,12 +20,12 @@ other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +34,21 @@ from pyspark.sql import types as T
 from .common import checkpointed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-PIECE_CHARS, WORD_CHARS, TRAIN_DOCS, ROUNDS = 6, 24, 1500, 3
-WORD = re.compile(r"[^\W\d_]+")
+WORD_CHARS, TRAIN_DOCS, ROUNDS = 24, 1500, 3
+WORD, PIECE = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile(r"[\p{L}\p{M}]+")
 BASE = np.uint64(1_000_003)
 FLOOR = 1e-7
 #: A task keeps this many scores of words at most (beyond those of its last batch).
 KEPT_SCORES = 2_000_000
 
 
-def public_pieces(path: str = VOCABULARY, longest: int = PIECE_CHARS) -> list[str]:
-    """The vocabulary's pieces of letters only, lower-cased."""
+def public_pieces(path: str = VOCABULARY) -> list[str]:
+    """The vocabulary's pieces of letters and marks only, lower-cased."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if 1 <= len(p) <= longest and p.isalpha())
+    return sorted(p for p in found if PIECE.fullmatch(p))
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +75,7 @@ class Model:
     probabilities: np.ndarray
 
     def __post_init__(self) -> None:
+        self.longest = int(self.lengths.max()) if len(self.lengths) else 1
         # A table by the hash's leading bits with a few slots each.
         bits = max(8, int(np.ceil(np.log2(len(self.hashes) + 1))) + 3)
         self.shift = np.uint64(64 - bits)
@@ -103,8 +104,9 @@ class Model:
         prefix = np.zeros((width + 1, n), np.uint64)
         for j in range(width):
             prefix[j + 1] = prefix[j] * BASE + codes[:, j]
-        out = np.full((PIECE_CHARS, width, n), -1, np.int32)
-        for size in range(1, PIECE_CHARS + 1):
+        sizes = max(1, min(self.longest, width))
+        out = np.full((sizes, width, n), -1, np.int32)
+        for size in range(1, sizes + 1):
             power = np.uint64(pow(int(BASE), size, 1 << 64))
             for j in range(size - 1, width):
                 k = self.find(prefix[j + 1] - prefix[j + 1 - size] * power)
@@ -115,12 +117,12 @@ class Model:
 
     def forward(self, places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[place, word, language] sums over segmentations up to a place, and [word, language] for whole words."""
-        _, width, n = places.shape
+        sizes, width, n = places.shape
         table = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))])  # -1: no such piece
         alpha = np.zeros((width + 1, n, len(self.languages)))
         alpha[0] = 1.0
         for j in range(width):
-            for size in range(1, min(PIECE_CHARS, j + 1) + 1):
+            for size in range(1, min(sizes, j + 1) + 1):
                 k = places[size - 1, j]
                 if (k >= 0).any():
                     alpha[j + 1] += alpha[j + 1 - size] * table[k]
@@ -128,17 +130,17 @@ class Model:
 
     def whole(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """[word, language]: logarithms of the forward sums of whole words. Sums are rescaled on the way, so long words don't underflow."""
-        _, width, n = places.shape
+        sizes, width, n = places.shape
         table = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))])
         recent, log = [np.ones((n, len(self.languages)))], np.zeros((n, 1))
         out = np.empty((n, len(self.languages)))
         for j in range(width):
             now = np.zeros((n, len(self.languages)))
-            for size in range(1, min(PIECE_CHARS, j + 1) + 1):
+            for size in range(1, min(sizes, j + 1) + 1):
                 k = places[size - 1, j]
                 if (k >= 0).any():
                     now += recent[-size] * table[k]
-            recent = [*recent[1 - PIECE_CHARS :], now]
+            recent = [*recent[-sizes + 1 :], now] if sizes > 1 else [now]
             ended = lengths == j + 1
             if ended.any():
                 out[ended] = np.log(np.maximum(now[ended], 1e-300)) + log[ended]
@@ -175,12 +177,12 @@ class Model:
             places = self.places(codes)
             alpha, whole = self.forward(places, lengths)
             table = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))])
-            width, n = places.shape[1:]
+            sizes, width, n = places.shape
             beta = np.zeros_like(alpha)
             beta[lengths, np.arange(n)] = 1.0
             share = times[part] / np.maximum(whole, 1e-300)
             for j in range(width - 1, -1, -1):
-                for size in range(1, min(PIECE_CHARS, j + 1) + 1):
+                for size in range(1, min(sizes, j + 1) + 1):
                     k = places[size - 1, j]
                     known = np.flatnonzero(k >= 0)
                     if len(known):
