@@ -179,8 +179,8 @@ def merged_names(new: DataFrame, threshold: float = 0.84, block_pairs: int = BLO
     of = lambda c, as_: names.select("kind", F.col("x").alias(c), F.col("new_id").alias(as_))
     pairs = name_pairs(names, other, threshold, block_pairs).where("x <> y")
     links = pairs.join(of("x", "b"), ["kind", "x"]).join(of("y", "a"), ["kind", "y"]).where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    linked_ = g.components(links.select(F.col("src").alias("node_id")), links).select(F.col("node_id").alias("first"), F.col("component").alias("entity_id"))
-    rows = names.select("kind", "x", F.col("new_id").alias("first")).join(linked_, "first", "left").withColumn("entity_id", F.coalesce("entity_id", "first"))
+    found = g.components(names.select(F.col("new_id").alias("node_id")), links).select(F.col("node_id").alias("new_id"), F.col("component").alias("entity_id"))
+    rows = names.select("kind", "x", "new_id").join(found, "new_id").drop("new_id")
     sizes = rows.groupBy("entity_id").agg(F.count("*").alias("names"))
     texts = new.select("new_id", F.col("entity_type").alias("kind"), n.normalize_company_tokens(F.col("name")).alias("x"))
     return texts.join(rows.join(sizes, "entity_id"), ["kind", "x"]).select("new_id", "entity_id", "names")

@@ -389,6 +389,13 @@ def _(s, d):
     return r.fuzzy_matches(new, p.select(F.col("p_partkey").alias("existing_id"), F.lit("device").alias("entity_type"), F.concat("p_name", F.lit(" limited")).alias("name")))
 
 
+@query("r02_merged_names")
+def _(s, d):
+    p = m.read(s, d, "part").select("p_partkey", "p_name", "p_brand")
+    spelled = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.regexp_replace("p_name", "e", "3")).otherwise(F.regexp_replace("p_name", "l", ""))
+    return r.merged_names(p.select(F.col("p_partkey").alias("new_id"), F.lit("device").alias("entity_type"), F.concat(spelled, F.lit(" "), F.col("p_brand"), F.lit(" ltd")).alias("name")))
+
+
 @query("r03_gazetteer")
 def _(s, d):
     e = m.entities(s, d).where("entity_type in ('person', 'organization', 'location')")
