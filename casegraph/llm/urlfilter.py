@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_hot
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,8 +63,12 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, toleran
     if not edges.isEmpty():
         rank = checkpointed(rank)
         last = rank
+        # A hub's edges stay where they are; its score comes to them.
+        fan = checkpointed(edges.groupBy("kind", "src").agg(F.count("*").alias("fan")))
+        total = edges.count()
         for k in range(1, rounds + 1):
-            passed = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("x") * F.col("share") * damping).alias("x"))
+            scored = fan.join(rank.withColumnRenamed("host", "src"), ["kind", "src"])
+            passed = join_hot(edges, scored, ["kind", "src"], "fan", total).select("kind", F.col("dst").alias("host"), (F.col("x") * F.col("share") * damping).alias("x"))
             rank = seeds.select("kind", "host", F.col("seed").alias("x")).union(passed).groupBy("kind", "host").agg(F.sum("x").alias("x"))
             if k % EVERY == 0:
                 rank = checkpointed(rank)
@@ -101,4 +105,7 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, ratio: fl
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     # The margin keeps sums that are equal but for their order of addition on the side of allow.
     by_host = F.when(distrust > trust * ratio * (1 + 1e-6) + 1e-9, "block").otherwise("allow")
-    return parts.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    # Pages of a hot host stay where they are, too.
+    counted = checkpointed(parts.groupBy("host").agg(F.count("*").alias("n")).join(hosts, "host", "left"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return join_hot(parts, counted, ["host"], "n", total).select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -249,3 +249,23 @@ def test_training_as_plain_em(spark, monkeypatch):
         p = uses / uses.sum(0)
         p[-1] = langid.FLOOR
     assert np.allclose(model.probabilities, p)
+
+
+# 8
+
+
+def test_urls_odd_rows(spark):
+    from casegraph.llm import urlfilter
+
+    link = '<a href="http://hub.net/p">'
+    rows = [(1, "http://a.org/x", link), (1, "http://a.org/x", link), (2, None, link), (3, "", None), (4, "no scheme", link), (None, "http://hub.net/", '<a href="http://b.com/de/">'), (5, "http://b.com/de/", None)]
+    rows += [(100 + i, "http://hub.net/y", f'<a href="http://h{i}.net/">') for i in range(60)]
+    schema = "page_id long, url string, html string, host string, kind string, n int, score double, trust double"
+    pages = spark.createDataFrame([(*r, "x", "y", 1, 0.5, 2.0) for r in rows], schema)
+    found = urlfilter.judged(pages).collect()
+    assert len(found) == len(rows) and [r.page_id for r in found].count(1) == 2
+    of = {r.page_id: r for r in found}
+    assert (of[2].host, of[2].path, of[2].verdict) == (of[3].host, of[3].path, of[3].verdict) == (of[4].host, "", "allow")
+    assert of[5].verdict == "block" and of[1].verdict == "allow" and of[1].trust > 0
+    assert len({(r.trust, r.distrust) for r in found if r.host == "hub.net"}) == 1
+    assert urlfilter.judged(pages.limit(0)).count() == 0
