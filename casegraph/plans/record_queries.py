@@ -263,6 +263,11 @@ def _(s, d):
     return t.mentions(m.case_texts(s, d))
 
 
+@query("t01_document_mentions")
+def _(s, d):
+    return t.mentions(m.read(s, d, "documents"))
+
+
 @query("t09_record_mentions", "SELECT c_custkey AS doc_id, 'name' AS source_field, 'PERSON' AS entity_type, c_name AS value, lower(c_name) AS normalized_value, 0.9::DOUBLE AS confidence FROM customer UNION ALL SELECT c_custkey, 'company', 'ORGANIZATION', c_mktsegment, c_mktsegment, 0.88 FROM customer", model=False)
 def _(s, d):
     return t.record_mentions(m.read(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("company")), "c_custkey")
