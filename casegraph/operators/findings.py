@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import graph as g
 
 INV = "investigation_id"
@@ -252,32 +253,42 @@ def b22(r: DataFrame) -> DataFrame:
     return _finding(triangles(r), 22, F.lit(0.84), None, F.array("p", "q", "w"))
 
 
-def articulation_points(r: DataFrame, comp: DataFrame, rounds: int = 200) -> DataFrame:
+#: Graphs of up to this many levels have their blocks found from breadth-first ways to the root, deeper ones by doubling.
+LEVELS = 30
+
+
+def articulation_points(r: DataFrame, comp: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(investigation_id, x): nodes that lie in more than one block (biconnected component) of their investigation's graph.
 
     A breadth-first tree from each component's smallest node, a round a level, with every node's way up to the root. Any other
     edge closes a cycle with the two ways up to where they meet, so all tree edges on these are in one block; blocks are the
-    components of tree edges that such cycles connect (an edge goes by its lower node). As many rounds as the tree is deep.
+    components of tree edges that such cycles connect (an edge goes by its lower node). A graph of over `levels` levels goes to blocks.blocks,
+    whose rounds are the logarithm of its size, with the same result; ways to the root have at most `levels` nodes.
     """
     near = g.checkpointed(_neighbours(r))
     front = g.checkpointed(comp.where("x = component").join(near.select(INV, "x").distinct(), [INV, "x"], "left_semi").select(INV, "x", F.array("x").alias("up")))
-    tree = front
-    for _ in range(rounds):
+    tree, deep = front, True
+    for _ in range(levels):
         step = front.join(near, [INV, "x"]).select(INV, F.col("y").alias("x"), F.concat(F.array("y"), "up").alias("up")).groupBy(INV, "x").agg(F.min("up").alias("up"))
         front = g.checkpointed(step.join(tree.select(INV, "x"), [INV, "x"], "left_anti"))
         if front.isEmpty():
+            deep = False
             break
         tree = tree.unionByName(front)
-    else:
-        raise RuntimeError(f"the graph is more than {rounds} edges deep")
+    block = blocks.blocks(near, comp, [INV]) if deep else _shallow_blocks(near, tree)
+    of = block.select(INV, F.explode(F.array("node", "parent")).alias("x"), "block").distinct()
+    return of.groupBy(INV, "x").agg(F.count("*").alias("blocks")).where("blocks > 1").select(INV, "x")
+
+
+def _shallow_blocks(near: DataFrame, tree: DataFrame) -> DataFrame:
+    """(investigation_id, node, parent, block) from each node's way up."""
     edges = near.where("x < y").join(tree.select(INV, "x", F.col("up").alias("a")), [INV, "x"]).join(tree.select(INV, F.col("x").alias("y"), F.col("up").alias("b")), [INV, "y"])
     others = edges.where("not (get(a, 1) <=> y) and not (get(b, 1) <=> x)")
     cycle = others.select(INV, F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("c"))
     links = cycle.select(INV, F.col("c")[0].alias("s"), F.explode(F.slice("c", F.lit(2), F.size("c"))).alias("t")).distinct()
     child = g.checkpointed(tree.where("size(up) > 1").select(INV, F.col("x").alias("node_id"), F.col("up")[1].alias("parent")))
-    block = g.components(child.select(INV, "node_id"), links, by=[INV], src="s", dst="t").join(child, [INV, "node_id"])
-    of = block.select(INV, F.explode(F.array("node_id", "parent")).alias("x"), "component").distinct()
-    return of.groupBy(INV, "x").agg(F.count("*").alias("blocks")).where("blocks > 1").select(INV, "x")
+    found = g.components(child.select(INV, "node_id"), links, by=[INV], src="s", dst="t").join(child, [INV, "node_id"])
+    return found.select(INV, F.col("node_id").alias("node"), "parent", F.col("component").alias("block"))
 
 
 def b23(r: DataFrame, comp: DataFrame) -> DataFrame:
