@@ -296,13 +296,29 @@ def b23(r: DataFrame, comp: DataFrame) -> DataFrame:
     return _finding(articulation_points(r, comp).join(n, [INV, "x"]), 23, _up(0.78, 0.03, "n", 0.93), F.col("n") >= 4, _one("x"))
 
 
-def typed_wedges(r: DataFrame) -> DataFrame:
-    """(investigation_id, a, m, b, combos): a - m - b with a < b whose legs have different types; the type pairs as sorted texts.
+def typed_legs(r: DataFrame) -> DataFrame:
+    """(investigation_id, m, o, kinds): the neighbours o of each m, with the sorted types of their relationships. A row for each end of a pair: what
+    typed_wedges stands for, in a form that grows with the edges."""
+    legs = _pairs(r).groupBy(INV, "a", "b").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    return legs.select(INV, F.col("a").alias("m"), F.col("b").alias("o"), "kinds").union(legs.select(INV, "b", "a", "kinds"))
+
+
+def typed_middles(legs: DataFrame) -> DataFrame:
+    """(investigation_id, m, legs, kind_sets, wedges): how many typed wedges each middle has, without forming one: all pairs of its legs but
+    those that have the same single type."""
+    sets = legs.groupBy(INV, "m", "kinds").agg(F.count("*").alias("n"))
+    alike = F.when(F.size("kinds") == 1, F.col("n") * (F.col("n") - 1)).otherwise(0)
+    sums = sets.groupBy(INV, "m").agg(F.sum("n").alias("legs"), F.count("*").alias("kind_sets"), F.sum(alike).alias("alike"))
+    return sums.select(INV, "m", "legs", "kind_sets", F.expr("(legs * (legs - 1) - alike) div 2").alias("wedges")).where("wedges > 0")
+
+
+def typed_wedges(r: DataFrame, middles: DataFrame | None = None) -> DataFrame:
+    """(investigation_id, a, m, b, combos): a - m - b with a < b whose legs have different types; the type pairs as sorted texts. `middles`
+    (investigation_id, m) limits which ones are written out.
 
     Types are gathered per pair before the self-join on the middle.
     """
-    legs = _pairs(r).groupBy(INV, "a", "b").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
-    both = legs.select(INV, F.col("a").alias("m"), F.col("b").alias("o"), "kinds").union(legs.select(INV, "b", "a", "kinds"))
+    both = typed_legs(r) if middles is None else typed_legs(r).join(middles.select(INV, "m").distinct(), [INV, "m"], "left_semi")
     other = both.select(INV, "m", F.col("o").alias("b"), F.col("kinds").alias("right"))
     combos = F.flatten(F.transform("kinds", lambda k: F.transform(F.filter("right", lambda q: q != k), lambda q: F.concat_ws("→", F.least(k, q), F.greatest(k, q)))))
     found = both.withColumnRenamed("o", "a").join(other, [INV, "m"]).where("a < b").select(INV, "a", "m", "b", F.array_sort(F.array_distinct(combos)).alias("combos"))

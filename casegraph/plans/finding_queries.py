@@ -203,6 +203,15 @@ def _(s, d):
     return b.b23(r, b.components(r))
 
 
+@query(
+    "b24_middles",
+    R + """, sets AS (SELECT inv, m, kinds, count(*) AS n FROM (SELECT inv, m, o, list_sort(list(DISTINCT kind)) AS kinds FROM (SELECT inv, a AS m, b AS o, kind FROM pairs UNION ALL SELECT inv, b, a, kind FROM pairs) GROUP BY inv, m, o) GROUP BY inv, m, kinds
+) SELECT inv AS investigation_id, m, sum(n)::BIGINT AS legs, count(*) AS kind_sets, ((sum(n) * (sum(n) - 1) - sum(CASE WHEN len(kinds) = 1 THEN n * (n - 1) ELSE 0 END)) // 2)::BIGINT AS wedges FROM sets GROUP BY inv, m HAVING wedges > 0""",
+)
+def _(s, d):
+    return b.typed_middles(b.typed_legs(b.valid(m.finding_relationships(s, d))))
+
+
 @query(
     "b25_findings",
     BASE + """, sig AS (SELECT c.inv, c.x, coalesce(hi.k, 0) AS k, coalesce(ev, '') AS ev, coalesce(rel, '') AS rel, (coalesce(d.d, 0) >= 2)::INT + (coalesce(h, 0) >= 2)::INT + (coalesce(t.types, 0) >= 2)::INT + (coalesce(titles, 0) >= 2)::INT AS s
