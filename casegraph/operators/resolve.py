@@ -29,6 +29,12 @@ def _token_ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
+@functools.lru_cache(maxsize=20_000)
+def _matcher(y: str) -> SequenceMatcher:
+    """A matcher that has read y; what it knows of y serves every x."""
+    return SequenceMatcher(None, "", y)
+
+
 def _similarity(x: str, y: str, threshold: float) -> float:
     """.6 * whole ratio + .4 * mean best token ratio of two normalised names; 0 if below the threshold or not safe.
 
@@ -41,7 +47,8 @@ def _similarity(x: str, y: str, threshold: float) -> float:
     mean = sum(best) / len(best)
     if min(best) < 0.65 or mean < 0.80:
         return 0.0
-    whole = SequenceMatcher(None, x, y)
+    whole = _matcher(y)
+    whole.set_seq1(x)
     if 0.6 * whole.quick_ratio() + 0.4 * mean < threshold:
         return 0.0
     score = 0.6 * whole.ratio() + 0.4 * mean
@@ -130,7 +137,7 @@ def name_pairs(new: DataFrame, existing: DataFrame, threshold: float = 0.84, blo
 
     A match needs equal token counts, an exact token in common and a partner of ratio .65 or more for each of x's tokens. Names meet in
     (type, token count, exact token). A common token, such as a legal form, doesn't bring all its names together: there they
-    meet in (token, partner of x's longest other token). That token needs a partner, so no match is lost.
+    meet in (token, partner of x's rarest other token). That token needs a partner, so no match is lost.
     """
     side = lambda df, text: df.select("kind", "tokens", text, "words", F.explode(F.array_distinct("words")).alias("token"))
     left, right = side(new, "x"), side(existing, "y")
@@ -138,17 +145,22 @@ def name_pairs(new: DataFrame, existing: DataFrame, threshold: float = 0.84, blo
     sizes = left.groupBy(by).agg(F.count("*").alias("nx")).join(right.groupBy(by).agg(F.count("*").alias("ny")), by)
     common = sizes.where(F.col("nx") * F.col("ny") > block_pairs).select(by)
     few = left.join(common, by, "left_anti").join(right, by).select("kind", "x", "y")
-    # x's other tokens: its words without one place of the common token.
+    # x's other tokens: its words without one place of the common token. The one that the fewest of y's names have, and of these the longest.
     at = F.array_position("words", F.col("token"))
     others = F.filter("words", lambda w, i: i + 1 != at)
-    chosen = F.array_max(F.transform(others, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    hard = left.join(common, by).select(*by, "x", chosen.alias("s")).where("s is not null")
+    times = left.join(sizes, by).groupBy("kind", "x").agg(F.map_from_entries(F.collect_list(F.struct("token", "ny"))).alias("times"))
+    weight = lambda w: F.struct(F.coalesce(F.try_element_at("times", w), F.lit(0)).alias("ny"), (-F.length(w)).alias("n"), w.alias("w"))
+    chosen = F.array_min(F.transform(others, weight))["w"]
+    hard = left.join(common, by).join(times, ["kind", "x"]).select(*by, "x", chosen.alias("s")).where("s is not null")
     behind = right.join(common, by).select(*by, "y", F.explode(F.array_distinct("words")).alias("t"))
     partners = similar_tokens(hard.select("s").distinct(), behind.select("t").distinct())
     many = hard.join(partners, "s").join(behind, [*by, "t"]).select("kind", "x", "y")
     same = new.join(existing.select("kind", F.col("y").alias("x")), ["kind", "x"]).select("kind", "x", F.col("x").alias("y"))
     near = few.union(many).distinct().where("x <> y").where(2 * F.least(F.length("x"), F.length("y")) * 0.6 >= (threshold - 0.4) * (F.length("x") + F.length("y")))
-    scored = near.withColumn("score", name_similarity(threshold)("x", "y")).where(F.col("score") >= threshold)
+    # A pair is a few bytes and much work: partitions by number, as their bytes would have a few tasks do all.
+    session = new.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    scored = near.repartition(tasks, "kind", "x", "y").withColumn("score", name_similarity(threshold)("x", "y")).where(F.col("score") >= threshold)
     return scored.union(same.withColumn("score", F.lit(1.0)))
 
 
