@@ -1,6 +1,7 @@
 """Near copies by the exact Jaccard similarity of word shingles: SIMILARITY (4 of 5) or more of shingles of 5 words.
 
-Texts of equal words meet first, as one node. The distinct shingles of a node give MinHash values in 32 bands of 4: a
+Texts of equal words meet first, as one node. Nodes whose SimHash fingerprints link (simhash: 4 of 64 bits, byte-position index) form groups next, and
+each is verified by its exact shingle sets against its group's smallest node. What this leaves open is found by MinHash. The distinct shingles of a node give MinHash values in 32 bands of 4: a
 pair at similarity 0.8 agrees in no band with probability (1 - 0.8**4)**32, under 5e-8, and less above it. (A
 SimHash radius would have to be over 20 of 64 bits to cover such pairs.) What agrees in a band is only a candidate; every link is
 verified by its exact shingle sets.
@@ -71,22 +72,23 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 
 
 def signed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, size, keys): the node, the number of its distinct shingles and its band keys."""
+    """(doc_id, fp, size, keys, sim): the node, the number of its distinct shingles, its band keys and its SimHash fingerprint."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, sims = [], [], [], []
             for raw in utf8(batch.column("text")):
                 found = shingle_set(raw)
                 nodes.append(node_of(raw))
                 sizes.append(len(found))
                 keys.append(band_keys(signature(found)))
+                sims.append(simhash.fingerprint(raw))
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), simhash._signed(nodes), pa.array(sizes, pa.int64()), lists], ["doc_id", "fp", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), simhash._signed(nodes), pa.array(sizes, pa.int64()), lists, simhash._signed(sims)], ["doc_id", "fp", "size", "keys", "sim"])
 
-    kinds = [T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    kinds = [T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sim", T.LongType())]
     return narrow.mapInArrow(run, T.StructType([narrow.schema["doc_id"], *kinds]))
 
 
@@ -182,18 +184,37 @@ def _in_blocks(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return dealt.select("block", "node", "label", "text").mapInArrow(run, "a long, b long")
 
 
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node b of nodes(fp, sim) with the smallest node a of those that links of their SimHash fingerprints reach."""
+    sims = checkpointed(nodes.select(F.col("sim").alias("fp")).distinct())
+    roots = components(simhash.links(sims)).select(F.col("node").alias("sim"), "component")
+    grouped = written(nodes.select("fp", "sim").join(roots, "sim", "left").select(F.col("fp").alias("b"), F.coalesce("component", "sim").alias("group")))
+    first = grouped.groupBy("group").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return join_hot(grouped, first, ["group"], "n", grouped.count()).where("b > a").select("a", "b")
+
+
 def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", short: int = SHORT, part: int = PART) -> DataFrame:
-    """(a, b): similar pairs of nodes(fp, size, keys, and copies, 1 if missing) that connect all that similar pairs connect."""
+    """(a, b): similar pairs of nodes(fp, size, keys, and copies, 1 if missing, and sim, if known) that connect all that similar pairs connect."""
     nodes = nodes if "copies" in nodes.columns else nodes.withColumn("copies", F.lit(1))
     total, distinct = nodes.agg(F.sum("copies"), F.count("*")).first()
-    postings = nodes.select(F.col("fp").alias("node"), "size", F.explode("keys").alias("key"))
-    buckets = postings.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min(F.struct("node", "size")).alias("pivot")).where("n > 1")
+    copies = nodes.select(F.col("fp").alias("node"), "copies")
+    grouped, label = None, F.col("fp")
+    if "sim" in nodes.columns:
+        near = written(simhash_groups(nodes))
+        wanted = copies.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        grouped = checkpointed(_verified(near, _texts(docs, text_col, wanted, total or 0)))
+        nodes = nodes.join(components(grouped).select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left")
+        label = F.coalesce("label", "fp")
+    # A bucket whose nodes are in one component already has nothing to add.
+    postings = nodes.select(F.col("fp").alias("node"), "size", label.alias("known"), F.explode("keys").alias("key"))
+    counts = [F.count("*").alias("n"), F.sum("size").alias("total"), F.min(F.struct("node", "size", "known")).alias("pivot")]
+    buckets = postings.groupBy("key").agg(*counts, F.min("known").alias("l"), F.max("known").alias("m")).where("n > 1 and l <> m").drop("l", "m")
     members = written(join_hot(postings, buckets, ["key"], "n", BANDS * distinct))
-    wanted = nodes.select(F.col("fp").alias("node"), "copies").join(members.select("node").distinct(), "node", "left_semi")
-    texts = _texts(docs, text_col, wanted, total or 0)
+    texts = _texts(docs, text_col, copies.join(members.select("node").distinct(), "node", "left_semi"), total or 0)
     allowed = _sizes_allow(F.col("size"), F.col("pivot.size"))
-    star = checkpointed(members.where(F.col("node") > F.col("pivot.node")).where(allowed).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
-    found = checkpointed(_verified(star, texts))
+    star = members.where(F.col("node") > F.col("pivot.node")).where(allowed).where(F.col("known") != F.col("pivot.known"))
+    star = checkpointed(star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
+    found = checkpointed(_verified(star, texts) if grouped is None else _verified(star, texts).union(grouped))
 
     labels = components(found).select("node", F.col("component").alias("label"))
     labelled = members.join(labels, "node", "left").select("key", "node", "size", "n", "total", F.coalesce("label", "node").alias("label"))
@@ -215,8 +236,8 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", short: int
 
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fp (its node), root (one node for all of a component), component_id (its smallest doc_id)."""
-    rows = checkpointed(signed_rows(docs, id_col, text_col))
-    nodes = written(rows.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
+    rows = written(signed_rows(docs, id_col, text_col))
+    nodes = written(rows.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sim").alias("sim"), F.count("*").alias("copies")))
     return simhash.rooted(rows.select("doc_id", "fp"), links(nodes, docs, text_col))
 
 

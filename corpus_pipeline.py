@@ -21,7 +21,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """The document with the smallest id of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more. SimHash groups (op2's
+    fingerprints and index) come first and are checked exactly; MinHash finds what 4 bits leave."""
     return nearcopies.deduplicated(docs)
 
 

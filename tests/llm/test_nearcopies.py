@@ -86,3 +86,26 @@ def test_links_connect_what_similarity_connects(spark, short, part):
         for a, b in linked:
             label[a] = label[b] = min(label[a], label[b])
     assert label == smallest(rows)
+
+
+def test_simhash_finds_groups_first(spark):
+    """The stage's own method: fingerprints at 4 bits give the groups, also through a third one; a pair that isn't similar is not linked."""
+    base = words(400, 7)
+    rows = [(k, " ".join(edited(base, range(10 * k, 10 * k + 1), f"s{k}"))) for k in range(1, 30)] + [(50 + k, " ".join(words(100, 50 + k))) for k in range(10)]
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    docs = frame(spark, rows)
+    signed = nearcopies.signed_rows(docs, "doc_id", "text")
+    node = {nearcopies.node_of(t.encode()): i for i, t in rows}
+    groups = [(node[e.a % 2**64], node[e.b % 2**64]) for e in nearcopies.simhash_groups(signed).collect()]
+    label = {i: i for i in prints}
+    for _ in rows:
+        for (i, x), (j, y) in itertools.combinations(prints.items(), 2):
+            if (x ^ y).bit_count() <= 4:
+                label[i] = label[j] = min(label[i], label[j])
+    sizes = [sum(v == k for v in label.values()) for k in set(label.values())]
+    assert max(sizes) > 5 and len(groups) == sum(n - 1 for n in sizes)
+    assert all(label[a] == label[b] for a, b in groups)
+    # What the groups settle makes no MinHash links: the links of one group are a star of its verified pairs.
+    texts = dict(rows)
+    linked = [(node[e.a % 2**64], node[e.b % 2**64]) for e in nearcopies.links(signed.drop("doc_id"), docs).collect()]
+    assert set(groups) <= set(linked) and all(alike(texts[a], texts[b]) for a, b in linked)
