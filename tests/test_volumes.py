@@ -57,3 +57,17 @@ def test_intermediate_tables_are_compressed(spark, tmp_path):
     rows = spark.range(200_000).select(F.lit("one and the same text").alias("t"), (F.col("id") % 3).alias("k"))
     path = g.checkpointed(rows).inputFiles()
     assert path and all(x.endswith(".parquet") for x in path)
+
+
+def test_document_confidence_does_not_depend_on_the_order(spark):
+    """Means whose tie falls on a digit: 0.2 + 0.4 * mean(0.9, 0.85, 0.9, 0.9) + 0.4 * 0.9 is 0.915; sums of another order gave either side of ties."""
+    from casegraph.operators import text as t
+
+    values = [0.99, 0.82, 0.45, 0.9, 0.88, 0.85, 0.86, 0.75]
+    got = set()
+    for turn in range(8):
+        found = spark.createDataFrame([(1, c) for c in values[turn:] + values[:turn]], "doc_id long, confidence double").coalesce(1)
+        rel = spark.createDataFrame([(1, 0.45), (1, 0.855)], "doc_id long, confidence double")
+        docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+        got |= {r.confidence for r in t.document_confidence(docs, found, rel).collect()}
+    assert len(got) == 1
