@@ -32,3 +32,29 @@ def test_links_of_findings_hold_no_lists(spark):
     f = spark.createDataFrame([(1, 3, "x", "high", 0.9, [1], list(range(3000)), list(range(3000)))], FINDING).withColumn("fid", F.lit(1).cast("long")).withColumn("iv", F.lit("1")).withColumn("place", F.lit(1)).withColumn("w", F.lit(1.0)).withColumn("c", F.lit(1.0))
     assert not any(kind.startswith("array") or "array" in kind for _, kind in k._groups_of(f, "relationship_ids").dtypes)
     assert k._groups_of(f, "relationship_ids").count() == 3000
+
+
+def odd_relationships(seed, n=70):
+    r = random.Random(seed)
+    rows = [(r.choice([1, 2, 3, None]), i, r.randrange(12), r.randrange(12), r.choice(["a", "b", "c"]), r.choice([0.5, 0.8, 0.9]), r.choice([None, r.randrange(9)])) for i in range(n)]
+    chain = [(4, 1000 + i, 50 - i, 49 - i, "a", 0.9, None) for i in range(8)]
+    return rows + rows[:5] + chain
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_of_rows_are_those_of_joins(spark, seed):
+    r = b.valid(spark.createDataFrame(odd_relationships(seed, 45), REL))
+    base = b.base_of(r)
+    rows = lambda df: sorted(map(str, df.select("investigation_id", "a", "b", "distance", "path").collect()))
+    assert rows(b.indirect_paths(r)) == rows(b._paths_by_joins(r.where("investigation_id is not null"), 4)) == rows(b.indirect_paths(r, local=20))
+    found = lambda df: sorted(map(str, df.select("investigation_id", "a", "b", "distance", "path", "h").collect()))
+    assert found(b.reinforced_paths(r, base)) == found(b._reinforced_by_joins(b._paths_by_joins(r, 4), base))
+
+
+def test_paths_make_one_shuffle_of_pairs(spark):
+    """A round of joins and groupings for each distance used to shuffle and write all pairs with their paths."""
+    r = b.valid(spark.createDataFrame(odd_relationships(1), REL))
+    assert b.indirect_paths(r)._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    wedges = b.b24(r)
+    assert "transform" not in wedges._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, wedges.collect())) == sorted(map(str, b._finding(b.typed_wedges(r), 24, F.lit(0.83), None, F.array_sort(F.array("a", "m", "b"))).collect()))
