@@ -44,3 +44,20 @@ def test_mean_score_ties_go_to_the_even_digit(spark):
     scores = spark.createDataFrame([(1, 0.1234), (2, 0.1235), (3, 0.1235), (4, 0.1236)], "node_id long, score double")
     found = {x.investigation_id: (x.entities, x.max_score, x.mean_score) for x in risk.risk_rollup(spark.createDataFrame(scope, "investigation_id long, entity_id long"), scores).collect()}
     assert found == {1: (2, 0.1235, 0.1234), 2: (2, 0.1236, 0.1236), 3: (1, 0.0, 0.0), 4: (1, 0.1234, 0.1234), 5: (3, 0.1235, 0.0823)}
+
+
+def test_no_pairs_of_a_key_are_shuffled(spark):
+    """100 keys that 600 nodes each have used to make 18 million rows of pairs, and each pair's lists twice; blocks of 50 against brute force."""
+    from casegraph.operators import similar
+
+    r = random.Random(4)
+    sets = {i: frozenset(r.sample(range(60), r.randint(2, 12))) for i in range(300)}
+    classes = spark.createDataFrame([(i, [f"k{j}" for j in sorted(s)], 1) for i, s in sets.items()], "cls long, keys array<string>, members long")
+    want = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.2 * len(sets[i] | sets[j])}
+    links = similar.class_links(classes, 0.2, block=50)
+    assert {(x.a, x.b): x.shared for x in links.collect()} == want and links.count() == len(want)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ids#") > 0 and "array_intersect" not in plan
+    score = lambda i, j: round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 4)
+    for i, best in ((x.a, x.b) for x in similar.class_links(classes, 0.2, 1, block=50).collect()):
+        assert best == min((-score(i, j), j) for j in sets if (min(i, j), max(i, j)) in want)[1]
