@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import ASCII_LOWER, checkpointed, components, join_hot, utf8, written
+from .common import ASCII_LOWER, components, join_hot, utf8, written
 
 WORDS, BANDS, ROWS = 5, 32, 4
 SIMILARITY = (4, 5)
@@ -186,7 +186,7 @@ def _in_blocks(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 def simhash_groups(nodes: DataFrame) -> DataFrame:
     """(a, b): each node b of nodes(fp, sim) with the smallest node a of those that links of their SimHash fingerprints reach."""
-    sims = checkpointed(nodes.select(F.col("sim").alias("fp")).distinct())
+    sims = written(nodes.select(F.col("sim").alias("fp")).distinct())
     roots = components(simhash.links(sims)).select(F.col("node").alias("sim"), "component")
     grouped = written(nodes.select("fp", "sim").join(roots, "sim", "left").select(F.col("fp").alias("b"), F.coalesce("component", "sim").alias("group")))
     first = grouped.groupBy("group").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
@@ -202,7 +202,7 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", short: int
     if "sim" in nodes.columns:
         near = written(simhash_groups(nodes))
         wanted = copies.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        grouped = checkpointed(_verified(near, _texts(docs, text_col, wanted, total or 0)))
+        grouped = written(_verified(near, _texts(docs, text_col, wanted, total or 0)))
         nodes = nodes.join(components(grouped).select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left")
         label = F.coalesce("label", "fp")
     # A bucket whose nodes are in one component already has nothing to add.
@@ -213,8 +213,8 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", short: int
     texts = _texts(docs, text_col, copies.join(members.select("node").distinct(), "node", "left_semi"), total or 0)
     allowed = _sizes_allow(F.col("size"), F.col("pivot.size"))
     star = members.where(F.col("node") > F.col("pivot.node")).where(allowed).where(F.col("known") != F.col("pivot.known"))
-    star = checkpointed(star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
-    found = checkpointed(_verified(star, texts) if grouped is None else _verified(star, texts).union(grouped))
+    star = written(star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
+    found = written(_verified(star, texts) if grouped is None else _verified(star, texts).union(grouped))
 
     labels = components(found).select("node", F.col("component").alias("label"))
     labelled = members.join(labels, "node", "left").select("key", "node", "size", "n", "total", F.coalesce("label", "node").alias("label"))
@@ -229,7 +229,7 @@ def links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", short: int
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = _verified(checkpointed(across), texts)
+    more = _verified(written(across), texts)
     blocks = _in_blocks(open_.where(F.col("n") > short), texts, part)
     return found.union(more).union(blocks)
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, checkpointed, components, join_hot, utf8
+from .common import ASCII_LOWER, components, join_hot, utf8, written
 
 WORDS, SEED, MAX_BITS, BLOCK = 4, 42, 4, 4096
 #: Lists up to this length have all their pairs compared at once; each member then meets a bounded number of others.
@@ -184,15 +184,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
 
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fp, root (one fingerprint for all of a component), component_id (its smallest doc_id)."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col))
-    return rooted(rows, links(checkpointed(rows.select("fp").distinct())))
+    rows = written(fingerprints(docs, id_col, text_col))
+    return rooted(rows, links(written(rows.select("fp").distinct())))
 
 
 def rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """rows(doc_id, fp) with the root and component_id of their components over linked(a, b)."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     roots = components(linked).select(F.col("node").alias("fp"), F.col("component"))
-    found = checkpointed(distinct.join(roots, "fp", "left").select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("root")))
+    found = written(distinct.join(roots, "fp", "left").select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("root")))
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     named = join_hot(found, smallest, ["root"], "members", found.count()).select("fp", "copies", "root", "component_id")
     return join_hot(rows, named, ["fp"], "copies", rows.count()).select("doc_id", "fp", "root", "component_id")
@@ -209,7 +209,7 @@ def one_each(docs: DataFrame, clusters: DataFrame, hashed: Callable[[bytes | Non
     Ids that several rows share, and null ids, are settled by the rows' fingerprints, so that such a row stands or
     falls with its own component.
     """
-    rows = checkpointed(clusters)
+    rows = written(clusters)
     ids = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     single = ids.where("doc_id is not null and n = 1").select(F.col("doc_id").alias("kept_id"))
     out = docs.join(single, docs[id_col] == F.col("kept_id"), "left_semi")
